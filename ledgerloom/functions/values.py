@@ -59,12 +59,17 @@ def cumulative(weights: Sequence[float]) -> list[float]:
 
 def last_at_most(bounds: Column, value: Column, size: int) -> Column:
     """How many of the sorted array's leading entries are <= ``value`` (binary search)."""
-    steps = [2**p for p in reversed(range(max(size, 1).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(bounds, at + step - F.lit(1)) <= value, at + step).otherwise(at),
-    )
+    steps = F.array(*[F.lit(2**p) for p in reversed(range(max(size, 1).bit_length()))])
+
+    def search(key: Column) -> Column:
+        return F.aggregate(
+            steps,
+            F.lit(0),
+            lambda at, step: F.when(F.get(bounds, at + step - F.lit(1)) <= key, at + step).otherwise(at),
+        )
+
+    # inside a lambda the key is worked out once, not at every step
+    return F.get(F.transform(F.array(value), search), 0)
 
 
 def choice(u: Column, values: Sequence, weights: Sequence[float] | None = None) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.draws import as_col
-from ledgerloom.functions.values import last_at_most
 from ledgerloom.operators.spread import (
     LIMITS,
     Limits,
@@ -209,23 +208,13 @@ def choice_from(
     """Draws ``value`` by whole-number ``weight`` from the choices of the row's ``given`` columns.
 
     Weights are added up per group in value order; the draw times the group's total falls
-    into one value's part. Up to ``broadcast_rows`` choices are sent out as one sorted array
-    per group and searched in place; beyond that (or with no ``given``), draws and choices
-    share one time line per group (``asof``). Neither form joins on a range. Groups with no
-    choice get null.
+    into one value's part, which ``asof`` finds. Groups with no choice get null.
     """
     given, out = list(given), out or value
     choices = choices.filter(F.col(weight) > 0)
     upto = ordered_scan(choices, given, [value], {"_upto": F.col(weight).cast("bigint")}, "sum", limits)
-    if given and choices.count() <= limits.broadcast_rows:
-        part = F.struct("_upto", F.col(value).alias("_value"))
-        listed = upto.groupBy(*given).agg(F.sort_array(F.collect_list(part)).alias("_parts"))
-        longest = listed.agg(F.max(F.size("_parts"))).head()[0] or 1
-        joined = df.join(F.broadcast(listed), given, "left")
-        pick = F.floor(u * F.element_at("_parts._upto", -1)).cast("bigint")
-        at = last_at_most(F.col("_parts._upto"), pick, longest)
-        return joined.withColumn(out, F.get("_parts._value", at)).drop("_parts")
-    starts = upto.select(*given, (F.col("_upto") - F.col(weight)).cast("bigint").alias("_from"), F.col(value).alias(out))
+    begin = (F.col("_upto") - F.col(weight)).cast("bigint")
+    starts = upto.select(*given, begin.alias("_from"), F.col(value).alias(out))
     total = F.sum(weight).cast("bigint").alias("_size")
     if given:
         sized = lookup_join(df, choices.groupBy(*given).agg(total), given, "left", row_key, limits)

@@ -121,13 +121,13 @@ def cut_points(df: DataFrame, cols: Sequence[str], total: int, limits: Limits =
     return list(dict.fromkeys(picked))
 
 
-def chunk_of(df: DataFrame, cols: Sequence[str], cuts: Sequence[Row]) -> Column:
-    """Number of cut points at or below the row's ``cols``, compared left to right."""
-    if not cuts:
-        return F.lit(0)
-    types = {c: df.schema[c].dataType for c in cols}
-    bounds = F.array(*[F.struct(*[F.lit(cut[c]).cast(types[c]).alias(c) for c in cols]) for cut in cuts])
-    return last_at_most(bounds, F.struct(*cols), len(cuts))
+def with_chunk(df: DataFrame, cols: Sequence[str], cuts: Sequence[Row]) -> DataFrame:
+    """Adds ``_chunk``: how many cut points are at or below the row's ``cols``, read left to right."""
+    # one value for the whole query: the cut points as a sorted array
+    points = df.sparkSession.createDataFrame(list(cuts), df.select(*cols).schema)
+    bounds = points.agg(F.sort_array(F.collect_list(F.struct(*cols)))).scalar()
+    found = last_at_most(F.col("_bounds"), F.struct(*cols), len(cuts))
+    return df.withColumn("_bounds", bounds).withColumn("_chunk", found).drop("_bounds")
 
 
 # How a scan works inside a piece, what a piece passes on, and how both are put together.
@@ -196,15 +196,17 @@ def ordered_scan(
         window = Window.partitionBy(*by).orderBy(*order)
         return df.select("*", *[inside(v, window, sort_key).alias(n) for n, v in outs.items()])
 
-    def cut(frame: DataFrame) -> DataFrame:
-        chunk = chunk_of(frame, [*by, *order], cuts)
+    def cut(frame: DataFrame, heavy_only: bool) -> DataFrame:
         if marks is None:
-            return frame.withColumn("_chunk", chunk)
+            return with_chunk(frame, [*by, *order], cuts)
         marked = _mark(frame, by, marks)
-        return marked.withColumn("_chunk", F.when(F.col("_heavy") == 1, chunk).otherwise(-1)).drop("_heavy")
+        if heavy_only:
+            return with_chunk(marked.filter("_heavy = 1"), [*by, *order], cuts)
+        chunked = with_chunk(marked, [*by, *order], cuts)
+        return chunked.withColumn("_chunk", F.when(F.col("_heavy") == 1, F.col("_chunk")).otherwise(-1)).drop("_heavy")
 
-    pieces = cut(df)
-    totals = cut(light).filter("_chunk >= 0").groupBy(*by, "_chunk").agg(
+    pieces = cut(df, heavy_only=False)
+    totals = cut(light, heavy_only=True).groupBy(*by, "_chunk").agg(
         *[combine_totals(v, sort_key).alias(f"_t_{n}") for n, v in outs.items()]
     )
     along = Window.partitionBy(*by).orderBy("_chunk")
@@ -248,31 +250,48 @@ def asof(
 ) -> DataFrame:
     """Adds to each row the ``values`` of its key's latest history row with valid_from <= ts.
 
-    Both sides are put in one time line per key and the last history row is carried on, so
-    the work grows with rows plus versions, never with their product. ``row_key`` tells the
-    rows of ``df`` apart; keys that hold many rows are scanned in pieces. Rows before the
-    first version, and rows whose key or time is null, get nulls.
+    A counted, small history is sent out as one sorted array per key and searched in place:
+    no shuffle of ``df``. Otherwise both sides are put in one time line per key and the last
+    history row is carried on, so the work grows with rows plus versions, never with their
+    product; keys that hold many rows are scanned in pieces. ``row_key`` tells the rows of
+    ``df`` apart; a key has one history row per ``valid_from``. Rows before the first
+    version, and rows whose key or time is null, get nulls.
     """
     on = list(on)
-    shared = [F.col(k) for k in on]
-    rows = [f"_r{i}" for i in range(len(row_key))]
+    at_type = df.schema[ts].dataType
+    hist = hist.filter(F.col(valid_from).isNotNull()).select(
+        *on, F.col(valid_from).cast(at_type).alias("_from"), F.struct(*values).alias("_found")
+    )
+    sizes = hist.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
+    rows, most = sizes.head()
+    if (rows or 0) <= limits.broadcast_rows:
+        parts = F.sort_array(F.collect_list(F.struct("_from", "_found"))).alias("_parts")
+        # two plain arrays: a field of an array of structs would be copied out at every step
+        begins, founds = F.col("_parts._from").alias("_begins"), F.col("_parts._found").alias("_founds")
+        if on:
+            joined = df.join(F.broadcast(hist.groupBy(*on).agg(parts).select(*on, begins, founds)), on, "left")
+        else:
+            listed = hist.agg(parts)
+            joined = df.withColumns(
+                {"_begins": listed.select(begins).scalar(), "_founds": listed.select(founds).scalar()}
+            )
+        found = F.get("_founds", last_at_most(F.col("_begins"), F.col(ts), most or 1) - F.lit(1))
+        return joined.withColumn("_last", found).select(*df.columns, *[F.col("_last")[v].alias(v) for v in values])
+
+    keys = [f"_r{i}" for i in range(len(row_key))]
     facts = df.select(
-        *shared,
+        *on,
         F.col(ts).alias("_at"),
         F.lit(1).alias("_side"),
-        *[F.col(c).alias(r) for c, r in zip(row_key, rows)],
+        *[F.col(c).alias(r) for c, r in zip(row_key, keys)],
         F.struct("*").alias("_fact"),
     )
-    at_type = df.schema[ts].dataType
-    dated = hist.filter(F.col(valid_from).isNotNull()).select(
-        *shared, F.col(valid_from).cast(at_type).alias("_at"), F.lit(0).alias("_side"),
-        F.struct(*values).alias("_found"),
-    )
+    dated = hist.withColumn("_side", F.lit(0)).withColumnRenamed("_from", "_at")
     line = facts.unionByName(dated, allowMissingColumns=True)
-    seen = ordered_scan(line, on, ["_at", "_side", *rows], {"_last": "_found"}, "last", limits)
-    has_key = F.lit(True)
-    for k in on:
-        has_key = has_key & F.col(k).isNotNull()
+    seen = ordered_scan(line, on, ["_at", "_side", *keys], {"_last": "_found"}, "last", limits)
+    known = F.lit(True)
+    for k in [*on, "_at"]:
+        known = known & F.col(k).isNotNull()
     return seen.filter(F.col("_side") == 1).select(
-        "_fact.*", *[F.when(has_key, F.col("_last")[v]).alias(v) for v in values]
+        "_fact.*", *[F.when(known, F.col("_last")[v]).alias(v) for v in values]
     )

@@ -396,7 +396,7 @@ def price_asof(spark: SparkSession, folder: str) -> DataFrame:
 
 @register.add("price_asof_split", _ASOF_SQL)
 def price_asof_split(spark: SparkSession, folder: str) -> DataFrame:
-    return _priced(spark, folder, limits=Limits(heavy_rows=60))
+    return _priced(spark, folder, limits=Limits(broadcast_rows=100, heavy_rows=60))
 
 
 _VALIDITY_SQL = f"""
