@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.draws import as_col
+from ledgerloom.functions.values import last_at_most
 from ledgerloom.operators.spread import (
     LIMITS,
     Limits,
@@ -17,6 +19,8 @@ from ledgerloom.operators.spread import (
     dense_number,
     lookup_join,
     ordered_scan,
+    sample_share,
+    spread_small,
 )
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -27,64 +31,88 @@ def _is_number(kind: T.DataType) -> bool:
 
 
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, num, txt) rows of the non-null values; whole numbers also keep exact text.
+    """(c, num, big, txt) rows of the non-null values: column position and one of the three filled.
 
-    Doubles cannot tell large BIGINTs apart, so those are told apart by their text.
+    Doubles cannot tell large whole numbers apart, so BIGINTs and dates travel as ``big``
+    and whatever is neither as text.
     """
     entries = []
-    for name in cols:
-        kind = df.schema[name].dataType
-        is_float = isinstance(kind, (T.DoubleType, T.FloatType))
-        value = F.col(name)
-        if is_float:
-            value = value + F.lit(0.0)  # -0.0 and 0.0 are one value
-        entries.append(
-            F.struct(
-                F.lit(name).alias("column"),
-                (value.cast("double") if _is_number(kind) else F.lit(None).cast("double")).alias("num"),
-                (F.lit(None).cast("string") if is_float else value.cast("string")).alias("txt"),
-            )
-        )
+    for i, name in enumerate(cols):
+        kind, value = df.schema[name].dataType, F.col(name)
+        num, big, txt = (F.lit(None).cast(t) for t in ("double", "bigint", "string"))
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            num = value.cast("double") + F.lit(0.0)  # -0.0 and 0.0 are one value
+        elif isinstance(kind, T.IntegralType):
+            big = value.cast("bigint")
+        elif isinstance(kind, T.DateType):
+            big = F.unix_date(value).cast("bigint")
+        else:
+            txt = value.cast("string")
+        entries.append(F.struct(F.lit(i).alias("c"), num.alias("num"), big.alias("big"), txt.alias("txt")))
     flat = df.select(F.inline(F.array(*entries)))
-    return flat.filter(F.col("num").isNotNull() | F.col("txt").isNotNull())
+    return flat.filter(F.col("num").isNotNull() | F.col("big").isNotNull() | F.col("txt").isNotNull())
 
 
-def _quantiles_of(counts: DataFrame, probs: Sequence[float], limits: Limits, cuts) -> DataFrame:
-    """(column, p, quantile) from (column, num, n), interpolated between neighbouring ranks."""
-    scanned = ordered_scan(counts, ["column"], ["num"], {"_upto": "n"}, "sum", limits, cuts)
-    sizes = counts.groupBy("column").agg(F.sum("n").alias("_size"))  # one row per column
-    targets = sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    targets = targets.withColumn("_rank", (F.col("_size") - 1) * F.col("p"))
-    wanted = targets.groupBy("column").agg(F.collect_list(F.struct("p", "_rank")).alias("_wanted"))
-    # a value covers ranks [upto - n, upto); keep it where it covers a wanted rank's neighbour
-    ranked = scanned.join(F.broadcast(wanted), "column")
+def _ranked(df: DataFrame, cols: Sequence[str], rows: int, limits: Limits) -> DataFrame:
+    """Distinct values per column with the ranks they cover: (c, num, from, upto).
 
-    def covers(rank: Column) -> Column:
-        return (rank >= F.col("_upto") - F.col("n")) & (rank < F.col("_upto"))
-
-    hits = ranked.withColumn(
-        "_hit", F.explode(F.filter("_wanted", lambda t: covers(F.floor(t["_rank"])) | covers(F.ceil(t["_rank"]))))
-    )
-    low = F.max(F.when(covers(F.floor("_hit._rank")), F.col("num")))
-    high = F.max(F.when(covers(F.ceil("_hit._rank")), F.col("num")))
-    part = F.first(F.col("_hit._rank") - F.floor("_hit._rank"))
-    return hits.groupBy("column", F.col("_hit.p").alias("p")).agg((low + (high - low) * part).alias("quantile"))
-
-
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limits: Limits = LIMITS) -> DataFrame:
-    """Exact quantiles as (column, p, quantile) rows.
-
-    Equal values are counted before the shuffle and ranks come from a scan in pieces, so no
-    task holds a whole column, as the built-in exact percentile would.
+    Equal values are counted before the shuffle; ranks come from a scan in pieces, so no
+    task holds a whole column, as the built-in exact percentile would. Decimals are ranked
+    as doubles. Values that are not numbers have a null ``num`` and mean nothing by rank.
     """
-    values = _long(df, cols).filter(F.col("num").isNotNull()).select("column", "num")
-    counts = values.groupBy("column", "num").agg(F.count(F.lit(1)).alias("n"))
-    return _quantiles_of(counts, probs, limits, _value_cuts(df, values, len(cols), limits))
+    decimals = [i for i, name in enumerate(cols) if isinstance(df.schema[name].dataType, T.DecimalType)]
+    number = F.coalesce("num", F.col("big").cast("double"))
+    if decimals:
+        number = F.coalesce(number, F.when(F.col("c").isin(decimals), F.col("txt").cast("double")))
+    values = _long(spread_small(df.select(*cols), rows, limits), cols)
+    counts = values.groupBy("c", "num", "big", "txt").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("c", number.alias("num"), "big", "txt", "n")
+    order = ["num", "big", "txt"]
+    cuts, entries = [], rows * len(cols)
+    if entries > limits.heavy_rows:
+        part = df.select(*cols).sample(fraction=sample_share(entries, limits), seed=7)
+        looked_at = _long(part, cols).select("c", number.alias("num"), "big", "txt")
+        cuts = cut_points(looked_at, ["c", *order], entries, limits, sampled=True)
+    scanned = ordered_scan(counts, ["c"], order, {"upto": "n"}, "sum", limits, cuts)
+    return scanned.select("c", "num", (F.col("upto") - F.col("n")).alias("from"), "upto")
+
+
+def _neighbours(size: int, p: float) -> tuple[int, int, float]:
+    """The two ranks around quantile ``p`` of ``size`` values, and the way between them."""
+    rank = (size - 1) * p
+    low = math.floor(rank)
+    return low, min(low + 1, size - 1), rank - low
+
+
+def _sizes(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int]]:
+    got = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(name).alias(name) for name in cols]).head()
+    return got["_rows"], {name: got[name] for name in cols}
 
 
-def _value_cuts(df: DataFrame, values: DataFrame, n_cols: int, limits: Limits) -> list:
-    rows = df.count() * n_cols
-    return cut_points(values, ["column", "num"], rows, limits) if rows > limits.heavy_rows else []
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limits: Limits = LIMITS) -> DataFrame:
+    """Exact quantiles of numeric columns as (column, p, quantile), interpolated between ranks."""
+    rows, sizes = _sizes(df, cols)
+    targets = [
+        (i, name, float(p), *_neighbours(sizes[name], p)) for i, name in enumerate(cols) if sizes[name] for p in probs
+    ]
+    wanted = {i: sorted({r for c, _, _, *pair, _ in targets if c == i for r in pair}) for i in range(len(cols))}
+    spark = df.sparkSession
+    ranks = spark.createDataFrame(list(wanted.items()), "c int, ranks array<bigint>")
+    ranked = _ranked(df, cols, rows, limits).join(F.broadcast(ranks), "c")
+    longest = max(len(r) for r in wanted.values())
+    first = last_at_most(F.col("ranks"), F.col("from") - 1, longest)
+    past = last_at_most(F.col("ranks"), F.col("upto") - 1, longest)
+    hits = ranked.withColumns({"first": first, "past": past}).filter("past > first")
+    # at most two ranks per wanted quantile are left from here on
+    found = hits.select(
+        "c", "num", F.explode(F.slice("ranks", F.col("first") + 1, F.col("past") - F.col("first"))).alias("rank")
+    )
+    asked = spark.createDataFrame(targets, "c int, column string, p double, low bigint, high bigint, part double")
+    low = found.select("c", F.col("rank").alias("low"), F.col("num").alias("below"))
+    high = found.select("c", F.col("rank").alias("high"), F.col("num").alias("above"))
+    met = F.broadcast(asked).join(low, ["c", "low"]).join(F.broadcast(high), ["c", "high"])
+    value = F.col("below") + (F.col("above") - F.col("below")) * F.col("part")
+    return met.select("column", "p", value.alias("quantile"))
 
 
 def profile(
@@ -92,18 +120,22 @@ def profile(
 ) -> DataFrame:
     """One row per column: rows, nulls, distinct, min, max, mean, sd and quartiles.
 
-    Numbers fill the ``_num`` bounds and the moments, other types the ``_txt`` bounds. The
-    exact form counts every distinct value (one shuffle of values counted per task); with
-    ``exact=False`` distinct and quartiles are estimates from the one scan that makes the rest.
+    Numbers fill the ``_num`` bounds, the moments and the quartiles, other types the
+    ``_txt`` bounds. The exact form counts every distinct value after one scan for the
+    rest; with ``exact=False`` that one scan makes everything, and distinct and quartiles
+    are estimates.
     """
     cols = list(cols or df.columns)
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(cols):
-        kind, value = df.schema[name].dataType, F.col(name)
-        number = _is_number(kind)
+        number, value = _is_number(df.schema[name].dataType), F.col(name)
         none_num, none_txt = F.lit(None).cast("double"), F.lit(None).cast("string")
-        as_num = value.cast("double")
+        as_num = value.cast("double") if number else none_num
         rough = F.percentile_approx(as_num, F.array(*[F.lit(q) for q in QUARTILES]), F.lit(10_000))
+        estimates = [
+            F.approx_count_distinct(value).alias("distinct"),
+            (rough if number else F.lit(None).cast("array<double>")).alias("q"),
+        ]
         aggregates.append(
             F.struct(
                 F.lit(name).alias("column"),
@@ -114,37 +146,49 @@ def profile(
                 (none_txt if number else F.max(value).cast("string")).alias("max_txt"),
                 (F.avg(as_num) if number else none_num).alias("mean"),
                 (F.stddev_samp(as_num) if number else none_num).alias("sd"),
-                *(
-                    []
-                    if exact
-                    else [
-                        F.approx_count_distinct(value).alias("distinct"),
-                        (rough if number else F.lit(None).cast("array<double>")).alias("q"),
-                    ]
-                ),
+                *([] if exact else estimates),
             ).alias(f"_s{i}")
         )
     stats = df.agg(*aggregates).select("rows", F.inline(F.array(*[f"_s{i}" for i in range(len(cols))])))
     shown = ["column", "rows", "nulls", "distinct", "min_num", "max_num", "min_txt", "max_txt", "mean", "sd"]
+    names = [f"q{int(p * 100)}" for p in QUARTILES]
     if not exact:
-        picked = [F.get("q", i).alias(f"q{int(p * 100)}") for i, p in enumerate(QUARTILES)]
-        return stats.select(*shown, *picked)
-
-    values = _long(df, cols)
-    counts = values.groupBy("column", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
-    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    numbers = values.filter(F.col("num").isNotNull())
-    by_value = counts.filter(F.col("num").isNotNull())
-    # whole numbers beyond 2**53 can share a double; merge those for ranking
-    by_value = by_value.groupBy("column", "num").agg(F.sum("n").alias("n"))
-    long = _quantiles_of(by_value, QUARTILES, limits, _value_cuts(df, numbers, len(cols), limits))
-    wide = long.groupBy("column").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(f"q{int(p * 100)}") for p in QUARTILES]
+        return stats.select(*shown, *[F.get("q", i).alias(n) for i, n in enumerate(names)])
+
+    measured = stats.collect()  # one row per column of the schema
+    spark = df.sparkSession
+    rows = measured[0]["rows"]
+    places = []
+    for i, row in enumerate(measured):
+        size = rows - row["nulls"]
+        found = [_neighbours(size, p) if size else (None, None, None) for p in QUARTILES]
+        places.append((i, *[value for three in found for value in three]))
+    fields = ", ".join(f"low{i} bigint, high{i} bigint, part{i} double" for i in range(len(QUARTILES)))
+    ranked = _ranked(df, cols, rows, limits).join(
+        F.broadcast(spark.createDataFrame(places, f"c int, {fields}")), "c"
+    )
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col(rank) >= F.col("from")) & (F.col(rank) < F.col("upto")), F.col("num")))
+
+    quartiles = [
+        (at(f"low{i}") + (at(f"high{i}") - at(f"low{i}")) * F.max(f"part{i}")).alias(n) for i, n in enumerate(names)
+    ]
+    whole = ranked.groupBy("c").agg(F.count(F.lit(1)).alias("distinct"), *quartiles)
+    numeric = [i for i, name in enumerate(cols) if _is_number(df.schema[name].dataType)]
+    fixed = spark.createDataFrame(
+        [(i, *row) for i, row in enumerate(measured)], T.StructType([T.StructField("c", T.IntegerType()), *stats.schema])
+    )
+    return (
+        fixed.join(F.broadcast(whole), "c", "left")
+        .withColumns(
+            {
+                "distinct": F.coalesce("distinct", F.lit(0).cast("bigint")),
+                **{n: F.when(F.col("c").isin(numeric), F.col(n)) for n in names},
+            }
+        )
+        .select(*shown, *names)
     )
-    # all three have one row per column of the schema
-    joined = stats.join(F.broadcast(distinct), "column", "left").join(F.broadcast(wide), "column", "left")
-    joined = joined.withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("bigint")))
-    return joined.select(*shown, *[f"q{int(p * 100)}" for p in QUARTILES])
 
 
 def freq(df: DataFrame, *cols: str) -> DataFrame:

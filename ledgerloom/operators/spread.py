@@ -105,22 +105,41 @@ def lookup_join(
     return salted_join(big, small, on, how, row_key, limits)
 
 
-def cut_points(df: DataFrame, cols: Sequence[str], total: int, limits: Limits = LIMITS) -> list[Row]:
-    """Sorted values of ``cols`` that cut ``df`` into ranges of about ``heavy_rows`` rows.
+def sample_share(total: int, limits: Limits = LIMITS) -> float:
+    """Share of ``total`` rows that is enough to place the cut points."""
+    return min(1.0, _parts(total, limits) * limits.sample_per_chunk / max(total, 1))
 
-    A sample decides where to cut and nothing else: whatever the cuts, every row falls
-    between two of them and is kept.
+
+def _parts(total: int, limits: Limits) -> int:
+    return min(limits.max_chunks, max(2, math.ceil(total / limits.heavy_rows)))
+
+
+def cut_points(
+    df: DataFrame, cols: Sequence[str], total: int, limits: Limits = LIMITS, sampled: bool = False
+) -> list[Row]:
+    """Sorted values of ``cols`` that cut ``total`` rows into ranges of about ``heavy_rows``.
+
+    A sample (of ``df``, or ``df`` itself if it is ``sampled``) decides where to cut and
+    nothing else: whatever the cuts, every row falls between two of them and is kept.
     """
-    parts = min(limits.max_chunks, max(2, math.ceil(total / limits.heavy_rows)))
-    wanted = parts * limits.sample_per_chunk
+    parts, share = _parts(total, limits), sample_share(total, limits)
     seen = df.select(*cols)
-    if total > wanted:
-        seen = seen.sample(fraction=wanted / total, seed=7)
+    if not sampled and share < 1.0:
+        seen = seen.sample(fraction=share, seed=7)
     ordered = seen.sort(*cols).collect()
     picked = [ordered[i * len(ordered) // parts] for i in range(1, parts)] if ordered else []
     return list(dict.fromkeys(picked))
 
 
+def spread_small(df: DataFrame, rows: int, limits: Limits = LIMITS) -> DataFrame:
+    """Deals a counted, small table out to all cores; it often lies in a single file.
+
+    Tables past ``heavy_rows`` have enough files and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if rows <= limits.heavy_rows else df
+
+
 def with_chunk(df: DataFrame, cols: Sequence[str], cuts: Sequence[Row]) -> DataFrame:
     """Adds ``_chunk``: how many cut points are at or below the row's ``cols``, read left to right."""
     # one value for the whole query: the cut points as a sorted array

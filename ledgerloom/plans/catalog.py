@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from ledgerloom.plans import generating
+from ledgerloom.plans import checking, generating, imitating
 
-REGISTERS = (generating.register,)
+REGISTERS = (generating.register, imitating.register, checking.register)
 
 
 def flagship(spark, folder):
