@@ -1,9 +1,7 @@
 """All registered queries."""
 
-from ledgerloom.plans import checking, generating, imitating
+from ledgerloom.plans import checking, generating, imitating, trading
 
-REGISTERS = (generating.register, imitating.register, checking.register)
+REGISTERS = (generating.register, imitating.register, checking.register, trading.register)
 
-
-def flagship(spark, folder):
-    raise NotImplementedError
+flagship = trading.order_slice

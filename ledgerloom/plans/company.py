@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +55,12 @@ class Spec:
 def sized_like(spark: SparkSession, folder: str) -> Spec:
     """A spec with as many rows as the given tables have."""
 
-    def rows(name: str) -> int:
-        return given(spark, folder, name).count()
-
-    return Spec(rows("region"), rows("customer"), rows("supplier"), rows("part"), rows("orders"))
+    names = ("region", "customer", "supplier", "part", "orders")
+    counts = [
+        given(spark, folder, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in names
+    ]
+    rows = {row["name"]: row["n"] for row in reduce(DataFrame.unionByName, counts).collect()}
+    return Spec(*[rows[name] for name in names])
 
 
 def _pick(u: Column, weights: Mapping) -> Column:

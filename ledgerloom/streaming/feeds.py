@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.draws import ColumnLike, draw
 from ledgerloom.functions.values import choice, fk, whole
@@ -100,7 +101,7 @@ def run_latest(feed: DataFrame, label: str, keys: Sequence[Column | str]) -> Dat
         .start()
     )
     query.awaitTermination()
-    schema = feed.schema.add("batch", "int")
+    schema = T.StructType([*feed.schema.fields, T.StructField("batch", T.IntegerType())])
     stored = spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
     latest = stored.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col("batch")).alias("_row"))
     return latest.select("_row.*")
