@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.draws import ColumnLike, as_col
-from ledgerloom.operators.imitate import freq
 from ledgerloom.operators.spread import LIMITS, Limits, cut_points, lookup_join, ordered_scan
 
 
@@ -130,14 +129,16 @@ def tvd(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 
     Chi-square tests ``a``'s counts against the shares of ``b``, over the values ``b`` has.
     """
-    left = freq(a, col).select(F.col(col).alias("v"), F.col("n").alias("n_a"), F.col("share").alias("share_a"))
-    right = freq(b, col).select(F.col(col).alias("v"), F.col("share").alias("share_b"))
-    met = left.join(right, left["v"].eqNullSafe(right["v"]), "full")
-    met = met.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("n_a", "share_a", "share_b")])
-    expected = F.col("share_b") * a.agg(F.count(F.lit(1))).scalar()
-    off = F.when(F.col("share_b") > 0, (F.col("n_a") - expected) * (F.col("n_a") - expected) / expected)
+    sides = a.select(F.col(col).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        b.select(F.col(col).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    )
+    met = sides.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows_a, rows_b = (side.agg(F.count(F.lit(1)).cast("double")).scalar() for side in (a, b))
+    share_a, share_b = F.col("a") / rows_a, F.col("b") / rows_b
+    expected = share_b * rows_a
+    off = F.when(F.col("b") > 0, (F.col("a") - expected) * (F.col("a") - expected) / expected)
     return met.agg(
-        (F.sum(F.abs(F.col("share_a") - F.col("share_b"))) / 2).alias("tvd"),
+        (F.sum(F.abs(share_a - share_b)) / 2).alias("tvd"),
         F.sum(off).alias("chi_square"),
         F.count(F.lit(1)).alias("categories"),
     )
@@ -163,9 +164,10 @@ def corr_gap(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
 def copies(gen: DataFrame, seed: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Value combinations of ``gen`` that also occur in ``seed``, with ``gen``'s rows ``n``.
 
-    Both sides are reduced to distinct combinations before they meet; nulls match nulls.
+    Both sides are counted per combination in one grouping; nulls match nulls.
     """
-    made = gen.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    real = seed.groupBy(*cols).agg(F.lit(1).alias("_real")).select(*[F.col(c).alias(f"_{c}") for c in cols])
-    on = [made[c].eqNullSafe(real[f"_{c}"]) for c in cols]
-    return made.join(real, on, "left_semi")
+    sides = gen.select(*cols, F.lit(1).alias("n"), F.lit(0).alias("_real")).unionByName(
+        seed.select(*cols, F.lit(0).alias("n"), F.lit(1).alias("_real"))
+    )
+    met = sides.groupBy(*cols).agg(F.sum("n").alias("n"), F.max("_real").alias("_real"))
+    return met.filter("n > 0 AND _real = 1").drop("_real")

@@ -43,12 +43,11 @@ def fk_sparse(
     The parent's keys are numbered 1..n in key order, the draw picks a number, and an
     equi-join turns it into the key. The number's join may be skewed, so it is salted.
     """
-    keys = parent.select(F.col(key).alias(out)).distinct()
+    keys = parent.filter(F.col(key).isNotNull()).select(F.col(key).alias(out)).distinct()
     n = keys.count()
-    indexed = dense_number(keys, [], [out], "_index", limits)
-    return lookup_join(
-        df.withColumn("_index", fk(u, n, skew)), indexed, ["_index"], "inner", row_key, limits
-    ).drop("_index")
+    indexed = dense_number(keys, [], [out], "_index", limits, rows=n)
+    placed = df.withColumn("_index", fk(u, n, skew))
+    return lookup_join(placed, indexed, ["_index"], "inner", row_key, limits, n).drop("_index")
 
 
 def fanout(df: DataFrame, n: ColumnLike, out: str = "line_no", block: int | None = None) -> DataFrame:

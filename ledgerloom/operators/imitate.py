@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,41 +116,51 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limits
     return met.select("column", "p", value.alias("quantile"))
 
 
-def profile(
-    df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True, limits: Limits = LIMITS
-) -> DataFrame:
-    """One row per column: rows, nulls, distinct, min, max, mean, sd and quartiles.
-
-    Numbers fill the ``_num`` bounds, the moments and the quartiles, other types the
-    ``_txt`` bounds. The exact form counts every distinct value after one scan for the
-    rest; with ``exact=False`` that one scan makes everything, and distinct and quartiles
-    are estimates.
-    """
-    cols = list(cols or df.columns)
+def _stats(df: DataFrame, cols: Sequence[str], picked: Sequence[int], numeric: bool, exact: bool) -> DataFrame:
+    """One row per picked column, from one scan of those columns."""
+    none_num, none_txt = F.lit(None).cast("double"), F.lit(None).cast("string")
     aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(cols):
-        number, value = _is_number(df.schema[name].dataType), F.col(name)
-        none_num, none_txt = F.lit(None).cast("double"), F.lit(None).cast("string")
-        as_num = value.cast("double") if number else none_num
+    for i in picked:
+        value = F.col(cols[i])
+        as_num = value.cast("double")
         rough = F.percentile_approx(as_num, F.array(*[F.lit(q) for q in QUARTILES]), F.lit(10_000))
         estimates = [
             F.approx_count_distinct(value).alias("distinct"),
-            (rough if number else F.lit(None).cast("array<double>")).alias("q"),
+            (rough if numeric else F.lit(None).cast("array<double>")).alias("q"),
         ]
         aggregates.append(
             F.struct(
-                F.lit(name).alias("column"),
+                F.lit(i).alias("c"),
+                F.lit(cols[i]).alias("column"),
                 F.count_if(value.isNull()).alias("nulls"),
-                (F.min(as_num) + F.lit(0.0) if number else none_num).alias("min_num"),
-                (F.max(as_num) + F.lit(0.0) if number else none_num).alias("max_num"),
-                (none_txt if number else F.min(value).cast("string")).alias("min_txt"),
-                (none_txt if number else F.max(value).cast("string")).alias("max_txt"),
-                (F.avg(as_num) if number else none_num).alias("mean"),
-                (F.stddev_samp(as_num) if number else none_num).alias("sd"),
+                (F.min(as_num) + F.lit(0.0) if numeric else none_num).alias("min_num"),
+                (F.max(as_num) + F.lit(0.0) if numeric else none_num).alias("max_num"),
+                (none_txt if numeric else F.min(value).cast("string")).alias("min_txt"),
+                (none_txt if numeric else F.max(value).cast("string")).alias("max_txt"),
+                (F.avg(as_num) if numeric else none_num).alias("mean"),
+                (F.stddev_samp(as_num) if numeric else none_num).alias("sd"),
                 *([] if exact else estimates),
             ).alias(f"_s{i}")
         )
-    stats = df.agg(*aggregates).select("rows", F.inline(F.array(*[f"_s{i}" for i in range(len(cols))])))
+    return df.agg(*aggregates).select("rows", F.inline(F.array(*[f"_s{i}" for i in picked])))
+
+
+def profile(
+    df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True, limits: Limits = LIMITS
+) -> DataFrame:
+    """One row per column: rows, nulls, distinct, min, max, mean, sd and quartiles.
+
+    Numbers fill the ``_num`` bounds, the moments and the quartiles, other types the
+    ``_txt`` bounds. Numbers and the rest are scanned apart, since text buffers would keep
+    the numbers out of hash aggregation; no column is read twice for it. The exact form then
+    counts every distinct value; with ``exact=False`` distinct and quartiles are estimates
+    from the same scans.
+    """
+    cols = list(cols or df.columns)
+    numeric = [i for i, name in enumerate(cols) if _is_number(df.schema[name].dataType)]
+    others = [i for i in range(len(cols)) if i not in numeric]
+    scans = [_stats(df, cols, picked, picked is numeric, exact) for picked in (numeric, others) if picked]
+    stats = reduce(DataFrame.unionByName, scans)
     shown = ["column", "rows", "nulls", "distinct", "min_num", "max_num", "min_txt", "max_txt", "mean", "sd"]
     names = [f"q{int(p * 100)}" for p in QUARTILES]
     if not exact:
@@ -159,10 +170,10 @@ def profile(
     spark = df.sparkSession
     rows = measured[0]["rows"]
     places = []
-    for i, row in enumerate(measured):
+    for row in measured:
         size = rows - row["nulls"]
         found = [_neighbours(size, p) if size else (None, None, None) for p in QUARTILES]
-        places.append((i, *[value for three in found for value in three]))
+        places.append((row["c"], *[value for three in found for value in three]))
     fields = ", ".join(f"low{i} bigint, high{i} bigint, part{i} double" for i in range(len(QUARTILES)))
     ranked = _ranked(df, cols, rows, limits).join(
         F.broadcast(spark.createDataFrame(places, f"c int, {fields}")), "c"
@@ -175,10 +186,7 @@ def profile(
         (at(f"low{i}") + (at(f"high{i}") - at(f"low{i}")) * F.max(f"part{i}")).alias(n) for i, n in enumerate(names)
     ]
     whole = ranked.groupBy("c").agg(F.count(F.lit(1)).alias("distinct"), *quartiles)
-    numeric = [i for i, name in enumerate(cols) if _is_number(df.schema[name].dataType)]
-    fixed = spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(measured)], T.StructType([T.StructField("c", T.IntegerType()), *stats.schema])
-    )
+    fixed = spark.createDataFrame(measured, stats.schema)
     return (
         fixed.join(F.broadcast(whole), "c", "left")
         .withColumns(
@@ -215,11 +223,12 @@ def resample(
     nulls.
     """
     by = list(by)
+    rows = seed_df.count()
     sizes = seed_df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     numbered = dense_number(seed_df, by, order, "_index", limits).select(*by, "_index", *cols)
     sized = lookup_join(df, sizes, by, "left", row_key, limits)
     indexed = sized.withColumn("_index", F.lit(1).cast("bigint") + F.floor(u * F.col("_size"))).drop("_size")
-    return lookup_join(indexed, numbered, [*by, "_index"], "left", row_key, limits).drop("_index")
+    return lookup_join(indexed, numbered, [*by, "_index"], "left", row_key, limits, rows).drop("_index")
 
 
 def quantile_grid(df: DataFrame, col: str, steps: int = 100, limits: Limits = LIMITS) -> list[float]:

@@ -18,11 +18,14 @@ def trial_balance(journal: DataFrame, levels: Sequence[str], amount: str = "amou
     """
     value = F.col(amount)
     zero = F.lit(0).cast(journal.schema[amount].dataType)
-    grouped = journal.rollup(*levels).agg(
+    finest = journal.groupBy(*levels).agg(
         F.sum(F.when(value > 0, value).otherwise(zero)).alias("debit"),
         F.sum(F.when(value < 0, -value).otherwise(zero)).alias("credit"),
-        F.sum(value).alias("balance"),
-        F.grouping_id().alias("_folded"),
+    )
+    # subtotals multiply rows by the levels, so they are made of sums, not of journal lines
+    debit, credit = F.sum("debit"), F.sum("credit")
+    grouped = finest.rollup(*levels).agg(
+        debit.alias("debit"), credit.alias("credit"), (debit - credit).alias("balance"), F.grouping_id().alias("_folded")
     )
     depth = F.lit(len(levels)) - F.bit_count("_folded")
     return grouped.select(*levels, depth.cast("int").alias("depth"), "debit", "credit", "balance")

@@ -33,13 +33,15 @@ class Limits:
 LIMITS = Limits()
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], limits: Limits = LIMITS) -> tuple[list[Row], int]:
+def heavy_keys(
+    df: DataFrame, keys: Sequence[str], limits: Limits = LIMITS, rows: int | None = None
+) -> tuple[list[Row], int]:
     """Key values too large for one task, as rows of (keys..., _rows), and the total row count.
 
     A heavy key holds at least ``heavy_share`` of the rows, so there are at most
     ``1 / heavy_share`` of them. Small tables are answered by the count alone.
     """
-    total = df.count()
+    total = df.count() if rows is None else rows
     if total <= limits.heavy_rows:
         return [], total
     least = max(limits.heavy_rows, math.ceil(total * limits.heavy_share))
@@ -98,9 +100,10 @@ def lookup_join(
     how: str = "inner",
     row_key: Sequence[str] | None = None,
     limits: Limits = LIMITS,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Broadcasts ``small`` if its counted rows allow it, else joins with salted keys."""
-    if small.count() <= limits.broadcast_rows:
+    """Broadcasts ``small`` if its ``rows`` (counted here if not known) allow it, else salts the join."""
+    if (small.count() if rows is None else rows) <= limits.broadcast_rows:
         return big.join(F.broadcast(small), list(on), how)
     return salted_join(big, small, on, how, row_key, limits)
 
@@ -181,6 +184,7 @@ def ordered_scan(
     limits: Limits = LIMITS,
     cuts: Sequence[Row] | None = None,
     light: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Adds running values over ``by`` groups in ascending ``order``.
 
@@ -193,6 +197,7 @@ def ordered_scan(
     window over the totals, and a join of the two. ``cuts`` skips the detection and cuts
     every group at the given points. ``light`` may name a cheaper frame with the same rows
     that has at least ``by``, ``order`` and what runs; counts and totals are then taken of it.
+    ``rows`` is the number of rows, where it is known.
     """
     by, order = list(by), list(order)
     inside, combine_totals, before, together = _FOLDS[kind]
@@ -202,13 +207,13 @@ def ordered_scan(
     marks: DataFrame | None = None  # the heavy groups, if only some are
     heavy: list[Row] = []
     if cuts is None and by:
-        heavy, _ = heavy_keys(light, by, limits)
+        heavy, _ = heavy_keys(light, by, limits, rows)
         if heavy:
             marks = _heavy_table(light, by, heavy, "_heavy", lambda n: 1)
-            rows = sum(r["_rows"] for r in heavy)
-            cuts = cut_points(_mark(light, by, marks).filter("_heavy = 1"), [*by, *order], rows, limits)
+            held = sum(r["_rows"] for r in heavy)
+            cuts = cut_points(_mark(light, by, marks).filter("_heavy = 1"), [*by, *order], held, limits)
     elif cuts is None:
-        rows = light.count()
+        rows = light.count() if rows is None else rows
         cuts = cut_points(light, order, rows, limits) if rows > limits.heavy_rows else None
 
     if not cuts:
@@ -252,9 +257,10 @@ def dense_number(
     out: str,
     limits: Limits = LIMITS,
     light: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Gap-free numbers 1, 2, 3, ... within each group, such as legal invoice numbers per year."""
-    return ordered_scan(df, by, order, {out: F.lit(1).cast("bigint")}, "sum", limits, light=light)
+    return ordered_scan(df, by, order, {out: F.lit(1).cast("bigint")}, "sum", limits, light=light, rows=rows)
 
 
 def asof(
@@ -298,12 +304,13 @@ def asof(
         return joined.withColumn("_last", found).select(*df.columns, *[F.col("_last")[v].alias(v) for v in values])
 
     keys = [f"_r{i}" for i in range(len(row_key))]
+    ordering = {ts: "_at", **dict(zip(row_key, keys))}  # columns that travel under the names they sort by
+    carried = [c for c in df.columns if c not in (*on, *ordering)]
     facts = df.select(
         *on,
-        F.col(ts).alias("_at"),
         F.lit(1).alias("_side"),
-        *[F.col(c).alias(r) for c, r in zip(row_key, keys)],
-        F.struct("*").alias("_fact"),
+        *[F.col(c).alias(name) for c, name in ((ts, "_at"), *zip(row_key, keys))],
+        F.struct(*carried).alias("_rest") if carried else F.lit(None).alias("_rest"),
     )
     dated = hist.withColumn("_side", F.lit(0)).withColumnRenamed("_from", "_at")
     line = facts.unionByName(dated, allowMissingColumns=True)
@@ -311,6 +318,12 @@ def asof(
     known = F.lit(True)
     for k in [*on, "_at"]:
         known = known & F.col(k).isNotNull()
+
+    def back(name: str) -> Column:
+        if name in on:
+            return F.col(name)
+        return F.col(ordering[name]) if name in ordering else F.col("_rest")[name]
+
     return seen.filter(F.col("_side") == 1).select(
-        "_fact.*", *[F.when(known, F.col("_last")[v]).alias(v) for v in values]
+        *[back(c).alias(c) for c in df.columns], *[F.when(known, F.col("_last")[v]).alias(v) for v in values]
     )
