@@ -8,12 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 FORMATS = ("parquet", "orc", "csv", "json")
+# Keeps nulls apart from empty text, and blanks at either end of a text.
+CSV = {"header": True, "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """One table from ``folder``, be it a folder of part files or ``<name>.<fmt>``.
+def read_table(
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    fmt: str = "parquet",
+    schema: T.StructType | None = None,
+    line_breaks: bool = True,
+) -> DataFrame:
+    """One table from ``folder``.
 
     CSV and JSON carry no types, so those need ``schema``; it is never inferred from data.
+    CSV files are split among tasks only with ``line_breaks=False``, which is right as long
+    as no text holds a line break; ``write`` keeps files small for the other case.
     """
     if fmt in ("csv", "json") and schema is None:
         raise ValueError(f"reading {fmt} needs a schema")
@@ -21,7 +32,7 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("nullValue", "\\N")
+        reader = reader.options(**CSV, multiLine=line_breaks)
     return reader.load(f"{folder.rstrip('/')}/{name}")
 
 
@@ -36,7 +47,7 @@ def write(
     fmt: str = "parquet",
     by: Mapping[str, Sequence[str]] | None = None,
     mode: str = "errorifexists",
-    rows_per_file: int = 20_000_000,
+    rows_per_file: int = 2_000_000,
 ) -> dict[str, str]:
     """Writes each table to its own folder, partitioned by the columns ``by`` names for it.
 
@@ -53,7 +64,7 @@ def write(
             df = df.hint("rebalance", *columns)
         writer = df.write.format(fmt).mode(mode).option("maxRecordsPerFile", rows_per_file)
         if fmt == "csv":
-            writer = writer.option("header", True).option("nullValue", "\\N")
+            writer = writer.options(**CSV)
         if columns:
             writer = writer.partitionBy(*columns)
         folders[name] = f"{path.rstrip('/')}/{name}"
