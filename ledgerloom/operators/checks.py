@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.draws import ColumnLike, as_col
-from ledgerloom.operators.spread import LIMITS, Limits, cut_points, lookup_join, ordered_scan
+from ledgerloom.operators.ranks import ks_distance
+from ledgerloom.operators.spread import LIMITS, Limits, lookup_join
 
 
 def unique(df: DataFrame, *keys: str) -> DataFrame:
@@ -105,23 +106,11 @@ def dates_ok_between(
 
 
 def ks(a: DataFrame, b: DataFrame, col: str, limits: Limits = LIMITS) -> DataFrame:
-    """Exact Kolmogorov-Smirnov distance of one numeric column: (n_a, n_b, ks).
-
-    Both sides are counted per value; the two distribution functions come from one scan in
-    pieces, so no task sees all values.
-    """
+    """Exact Kolmogorov-Smirnov distance of one numeric column: (n_a, n_b, ks); nulls are left out."""
     value = F.col(col).cast("double") + F.lit(0.0)
     left = a.select(value.alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     right = b.select(value.alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    both = left.unionByName(right).filter(F.col("v").isNotNull())
-    rows = a.count() + b.count()
-    cuts = cut_points(both, ["v"], rows, limits) if rows > limits.heavy_rows else []
-    counts = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    scanned = ordered_scan(counts, [], ["v"], {"upto_a": "a", "upto_b": "b"}, "sum", limits, cuts)
-    size_a = a.filter(F.col(col).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    size_b = b.filter(F.col(col).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    gap = F.abs(F.col("upto_a") / size_a - F.col("upto_b") / size_b)
-    return scanned.agg(F.max("upto_a").alias("n_a"), F.max("upto_b").alias("n_b"), F.max(gap).alias("ks"))
+    return ks_distance(left.unionByName(right).filter(F.col("v").isNotNull()), limits)
 
 
 def tvd(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

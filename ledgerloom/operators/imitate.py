@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,16 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.draws import as_col
-from ledgerloom.functions.values import last_at_most
+from ledgerloom.operators import ranks
+from ledgerloom.operators.ranks import quantiles
 from ledgerloom.operators.spread import (
     LIMITS,
     Limits,
     asof,
-    cut_points,
     dense_number,
     lookup_join,
     ordered_scan,
-    sample_share,
     spread_small,
 )
 
@@ -54,68 +52,6 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return flat.filter(F.col("num").isNotNull() | F.col("big").isNotNull() | F.col("txt").isNotNull())
 
 
-def _ranked(df: DataFrame, cols: Sequence[str], rows: int, limits: Limits) -> DataFrame:
-    """Distinct values per column with the ranks they cover: (c, num, from, upto).
-
-    Equal values are counted before the shuffle; ranks come from a scan in pieces, so no
-    task holds a whole column, as the built-in exact percentile would. Decimals are ranked
-    as doubles. Values that are not numbers have a null ``num`` and mean nothing by rank.
-    """
-    decimals = [i for i, name in enumerate(cols) if isinstance(df.schema[name].dataType, T.DecimalType)]
-    number = F.coalesce("num", F.col("big").cast("double"))
-    if decimals:
-        number = F.coalesce(number, F.when(F.col("c").isin(decimals), F.col("txt").cast("double")))
-    values = _long(spread_small(df.select(*cols), rows, limits), cols)
-    counts = values.groupBy("c", "num", "big", "txt").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("c", number.alias("num"), "big", "txt", "n")
-    order = ["num", "big", "txt"]
-    cuts, entries = [], rows * len(cols)
-    if entries > limits.heavy_rows:
-        part = df.select(*cols).sample(fraction=sample_share(entries, limits), seed=7)
-        looked_at = _long(part, cols).select("c", number.alias("num"), "big", "txt")
-        cuts = cut_points(looked_at, ["c", *order], entries, limits, sampled=True)
-    scanned = ordered_scan(counts, ["c"], order, {"upto": "n"}, "sum", limits, cuts)
-    return scanned.select("c", "num", (F.col("upto") - F.col("n")).alias("from"), "upto")
-
-
-def _neighbours(size: int, p: float) -> tuple[int, int, float]:
-    """The two ranks around quantile ``p`` of ``size`` values, and the way between them."""
-    rank = (size - 1) * p
-    low = math.floor(rank)
-    return low, min(low + 1, size - 1), rank - low
-
-
-def _sizes(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int]]:
-    got = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(name).alias(name) for name in cols]).head()
-    return got["_rows"], {name: got[name] for name in cols}
-
-
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limits: Limits = LIMITS) -> DataFrame:
-    """Exact quantiles of numeric columns as (column, p, quantile), interpolated between ranks."""
-    rows, sizes = _sizes(df, cols)
-    targets = [
-        (i, name, float(p), *_neighbours(sizes[name], p)) for i, name in enumerate(cols) if sizes[name] for p in probs
-    ]
-    wanted = {i: sorted({r for c, _, _, *pair, _ in targets if c == i for r in pair}) for i in range(len(cols))}
-    spark = df.sparkSession
-    ranks = spark.createDataFrame(list(wanted.items()), "c int, ranks array<bigint>")
-    ranked = _ranked(df, cols, rows, limits).join(F.broadcast(ranks), "c")
-    longest = max(len(r) for r in wanted.values())
-    first = last_at_most(F.col("ranks"), F.col("from") - 1, longest)
-    past = last_at_most(F.col("ranks"), F.col("upto") - 1, longest)
-    hits = ranked.withColumns({"first": first, "past": past}).filter("past > first")
-    # at most two ranks per wanted quantile are left from here on
-    found = hits.select(
-        "c", "num", F.explode(F.slice("ranks", F.col("first") + 1, F.col("past") - F.col("first"))).alias("rank")
-    )
-    asked = spark.createDataFrame(targets, "c int, column string, p double, low bigint, high bigint, part double")
-    low = found.select("c", F.col("rank").alias("low"), F.col("num").alias("below"))
-    high = found.select("c", F.col("rank").alias("high"), F.col("num").alias("above"))
-    met = F.broadcast(asked).join(low, ["c", "low"]).join(F.broadcast(high), ["c", "high"])
-    value = F.col("below") + (F.col("above") - F.col("below")) * F.col("part")
-    return met.select("column", "p", value.alias("quantile"))
-
-
 def _stats(df: DataFrame, cols: Sequence[str], picked: Sequence[int], numeric: bool, exact: bool) -> DataFrame:
     """One row per picked column, from one scan of those columns."""
     none_num, none_txt = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -167,36 +103,17 @@ def profile(
         return stats.select(*shown, *[F.get("q", i).alias(n) for i, n in enumerate(names)])
 
     measured = stats.collect()  # one row per column of the schema
-    spark = df.sparkSession
-    rows = measured[0]["rows"]
-    places = []
-    for row in measured:
-        size = rows - row["nulls"]
-        found = [_neighbours(size, p) if size else (None, None, None) for p in QUARTILES]
-        places.append((row["c"], *[value for three in found for value in three]))
-    fields = ", ".join(f"low{i} bigint, high{i} bigint, part{i} double" for i in range(len(QUARTILES)))
-    ranked = _ranked(df, cols, rows, limits).join(
-        F.broadcast(spark.createDataFrame(places, f"c int, {fields}")), "c"
-    )
-
-    def at(rank: str) -> Column:
-        return F.max(F.when((F.col(rank) >= F.col("from")) & (F.col(rank) < F.col("upto")), F.col("num")))
-
-    quartiles = [
-        (at(f"low{i}") + (at(f"high{i}") - at(f"low{i}")) * F.max(f"part{i}")).alias(n) for i, n in enumerate(names)
-    ]
-    whole = ranked.groupBy("c").agg(F.count(F.lit(1)).alias("distinct"), *quartiles)
-    fixed = spark.createDataFrame(measured, stats.schema)
-    return (
-        fixed.join(F.broadcast(whole), "c", "left")
-        .withColumns(
-            {
-                "distinct": F.coalesce("distinct", F.lit(0).cast("bigint")),
-                **{n: F.when(F.col("c").isin(numeric), F.col(n)) for n in names},
-            }
-        )
-        .select(*shown, *names)
+    fixed = df.sparkSession.createDataFrame(measured, stats.schema)
+    values = _long(spread_small(df.select(*cols), measured[0]["rows"], limits), cols)
+    distinct = values.distinct().groupBy("c").agg(F.count(F.lit(1)).alias("distinct"))
+    known = {row["c"]: ranks.Extent(row["rows"] - row["nulls"], row["min_num"], row["max_num"]) for row in measured}
+    long = ranks.quantiles(df, [cols[i] for i in numeric], QUARTILES, limits, [known[i] for i in numeric])
+    wide = long.groupBy("column").agg(
+        *[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n) for p, n in zip(QUARTILES, names)]
     )
+    # both have one row per column of the schema
+    joined = fixed.join(F.broadcast(distinct), "c", "left").join(F.broadcast(wide), "column", "left")
+    return joined.withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("bigint"))).select(*shown, *names)
 
 
 def freq(df: DataFrame, *cols: str) -> DataFrame:
