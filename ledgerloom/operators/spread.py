@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.draws import as_col
 from ledgerloom.functions.values import last_at_most
@@ -23,6 +24,7 @@ class Limits:
     """Sizes at which an operator changes its way of working (never its result)."""
 
     broadcast_rows: int = 200_000  # largest counted side to broadcast
+    broadcast_bytes: int = 64 * 2**20  # the same for its text, measured where it has any
     heavy_rows: int = 2_000_000  # groups up to this size go to one task
     heavy_share: float = 1e-4  # larger groups are heavy from this share of all rows
     max_chunks: int = 4096  # most pieces the heavy groups are cut into
@@ -93,6 +95,18 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def fits_broadcast(df: DataFrame, rows: int, limits: Limits = LIMITS) -> bool:
+    """Whether a counted table may be broadcast; columns of open width are measured."""
+    if rows > limits.broadcast_rows:
+        return False
+    fixed = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    open_ended = [f.name for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    if not open_ended:
+        return True
+    text = F.to_json(F.struct(*open_ended))
+    return (df.agg(F.sum(F.octet_length(text))).head()[0] or 0) <= limits.broadcast_bytes
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -103,7 +117,7 @@ def lookup_join(
     rows: int | None = None,
 ) -> DataFrame:
     """Broadcasts ``small`` if its ``rows`` (counted here if not known) allow it, else salts the join."""
-    if (small.count() if rows is None else rows) <= limits.broadcast_rows:
+    if fits_broadcast(small, small.count() if rows is None else rows, limits):
         return big.join(F.broadcast(small), list(on), how)
     return salted_join(big, small, on, how, row_key, limits)
 
@@ -289,7 +303,7 @@ def asof(
     )
     sizes = hist.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
     rows, most = sizes.head()
-    if (rows or 0) <= limits.broadcast_rows:
+    if fits_broadcast(hist, rows or 0, limits):
         parts = F.sort_array(F.collect_list(F.struct("_from", "_found"))).alias("_parts")
         # two plain arrays: a field of an array of structs would be copied out at every step
         begins, founds = F.col("_parts._from").alias("_begins"), F.col("_parts._found").alias("_founds")

@@ -38,6 +38,14 @@ def test_salted_join(spark, hot, how, capsys):
     assert "_salt" in plan(split, capsys)
 
 
+def test_long_text_is_not_broadcast(spark, hot, capsys):
+    small = spark.createDataFrame([(k, "n" * 100) for k in range(1, 70)], "k int, name string")
+    tight = s.Limits(broadcast_bytes=5_000)
+    assert s.fits_broadcast(small, 69) and not s.fits_broadcast(small, 69, tight)
+    assert s.fits_broadcast(small.select("k"), 69, tight) and not s.fits_broadcast(small, 200_001)
+    assert rows(s.lookup_join(hot, small, ["k"], limits=tight)) == rows(hot.join(small, "k"))
+
+
 @pytest.mark.parametrize("by", [[], ["k"]])
 def test_running_sum(hot, by, capsys):
     split = s.ordered_scan(hot, by, ["d", "id"], {"b": "v"}, limits=EARLY)
