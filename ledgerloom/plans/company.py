@@ -30,6 +30,7 @@ TERMS_DAYS = {14: 2.0, 30: 5.0, 60: 3.0}
 ACCOUNT_KINDS = ("cash", "receivable", "inventory", "payable", "revenue", "cost of sales")
 CASH, RECEIVABLE, REVENUE = 1, 2, 5  # positions in ACCOUNT_KINDS, from 1
 ACCOUNTS_PER_COMPANY = 100  # account_id = company_id * 100 + position
+SUPPLIERS_PER_COMPANY = 10
 DUE_DAYS = 30
 MARKUP = 1.4
 STEPS = (Step("ship", 0.9, (1, 10)), Step("invoice", 0.95, (0, 3)), Step("pay", 0.8, (5, 60)))
@@ -53,14 +54,15 @@ class Spec:
 
 
 def sized_like(spark: SparkSession, folder: str) -> Spec:
-    """A spec with as many rows as the given tables have."""
+    """A spec with as many rows as the given tables have, and a company for every ten suppliers."""
 
-    names = ("region", "customer", "supplier", "part", "orders")
+    names = ("customer", "supplier", "part", "orders")
     counts = [
         given(spark, folder, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in names
     ]
     rows = {row["name"]: row["n"] for row in reduce(DataFrame.unionByName, counts).collect()}
-    return Spec(*[rows[name] for name in names])
+    companies = max(1, rows["supplier"] // SUPPLIERS_PER_COMPANY)
+    return Spec(companies, *[rows[name] for name in names])
 
 
 def _pick(u: Column, weights: Mapping) -> Column:

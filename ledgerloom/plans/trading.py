@@ -30,8 +30,12 @@ def _s(table: str, col: str, *keys: str) -> str:
     return q.draw(SEED, table, col, *keys)
 
 
+_COMPANIES = f"(SELECT greatest(1, count(*) // {co.SUPPLIERS_PER_COMPANY})::BIGINT FROM supplier)"
+
+
 def _keys(name: str, table: str) -> str:
-    return f"(SELECT unnest(range(1, (SELECT count(*) FROM {table}) + 1)) AS {name})"
+    size = _COMPANIES if name == "company_id" else f"(SELECT count(*) FROM {table})"
+    return f"(SELECT unnest(range(1, {size} + 1)) AS {name})"
 
 
 _SPEC = co.Spec(0, 0, 0, 0, 0)  # for its dates, skews and steps; the sizes come from the tables
@@ -42,7 +46,7 @@ _COST = f"""(50 + floor(exp({q.normal('ca', 'cb', 7.0, 0.8)}))::BIGINT)"""
 _FACTS = f"""
     k AS {_keys('order_id', 'orders')},
     o1 AS (
-        SELECT order_id, {q.fk(_s('order', 'company', 'order_id'), '(SELECT count(*) FROM region)')} AS company_id,
+        SELECT order_id, {q.fk(_s('order', 'company', 'order_id'), _COMPANIES)} AS company_id,
                {q.fk(_s('order', 'customer', 'order_id'), '(SELECT count(*) FROM customer)', _SPEC.customer_skew)}
                AS customer_id,
                {q.date_draw(_s('order', 'date', 'order_id'), _SPEC.start, _SPEC.end, True)} AS order_date,
@@ -115,11 +119,11 @@ _TABLE_SQL = {
     "company": f"""
         SELECT company_id, {q.code('CO', 'company_id', width=3)} AS name,
                {q.pick(_s('company', 'currency', 'company_id'), co.CURRENCIES)} AS currency
-        FROM {_keys('company_id', 'region')}""",
+        FROM {_keys('company_id', 'supplier')}""",
     "account": f"""
         SELECT company_id * {co.ACCOUNTS_PER_COMPANY} + pos AS account_id, company_id,
                {list(co.ACCOUNT_KINDS)}[pos] AS kind
-        FROM {_keys('company_id', 'region')}, range(1, {len(co.ACCOUNT_KINDS) + 1}) AS r(pos)""",
+        FROM {_keys('company_id', 'supplier')}, range(1, {len(co.ACCOUNT_KINDS) + 1}) AS r(pos)""",
     "customer": f"""
         SELECT customer_id, {q.pick(_s('customer', 'segment', 'customer_id'), co.SEGMENTS)} AS segment,
                {q.pick(_s('customer', 'country', 'customer_id'), co.COUNTRIES)} AS country,
