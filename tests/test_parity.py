@@ -3,9 +3,12 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ledgerloom.plans.catalog import REGISTERS
 from tests.conftest import SMALL, plan
 
+QUERIES = {name: run for register in REGISTERS for name, run in register.queries.items()}
+ORACLES = {name: sql for register in REGISTERS for name, sql in register.sql.items()}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -17,17 +20,17 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, folder, duck, capsys, name):
-    df = queries()[name](spark, folder)
+    df = QUERIES[name](spark, folder)
     text = plan(df, capsys)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "PythonUDF" not in text and "InPandas" not in text
     got = df.collect()
     assert got
-    if name not in oracle_sql():
+    if name not in ORACLES:
         return
-    answer = duck.execute(oracle_sql()[name])
+    answer = duck.execute(ORACLES[name])
     names = [column[0] for column in answer.description]
     assert sorted(names) == sorted(df.columns)
     want = [tuple(row[names.index(c)] for c in df.columns) for row in answer.fetchall()]
@@ -40,4 +43,4 @@ def test_entry(spark):
 
 
 def test_only_the_estimates_have_no_sql():
-    assert set(queries()) - set(oracle_sql()) == {"table_profile_approx"}
+    assert set(QUERIES) - set(ORACLES) == {"table_profile_approx"}
