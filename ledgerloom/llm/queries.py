@@ -6,11 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import table
 from ledgerloom.llm.exact import exact_dedup
+from ledgerloom.llm.pii import find_personal_data
+from ledgerloom.llm.shards import shard
+from ledgerloom.llm.warc import warc_round_trip
 from ledgerloom.plans.registry import Register
 
 register = Register()
 
 
+@register.add(
+    "op5_warc",
+    """
+    WITH hashed AS (
+        SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha,
+               min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+        FROM pages)
+    SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+               (CAST('0x' || substr(sha, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31
+               AS BIGINT), 1)), '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM hashed
+    """,
+)
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc_round_trip(table(spark, folder, "pages"))
+
+
 @register.add(
     "op7_exact_dedup",
     """
@@ -22,3 +46,15 @@ register = Register()
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts over all documents; the largest id of a group stays."""
     return exact_dedup(table(spark, folder, "documents"), keep="largest")
+
+
+@register.add("op9_sharding")
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    return shard(table(spark, folder, "documents"), 24)
+
+
+@register.add("op10_pii")
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of all documents."""
+    return find_personal_data(table(spark, folder, "documents"))
