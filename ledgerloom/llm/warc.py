@@ -157,7 +157,7 @@ def write_archives(
                 page, target, data, first, revisit = (v.as_py() for v in row)
                 if out is None:
                     name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(files):04d}.warc.gz"
-                    out, n = store.open_output_stream(f"{folder}/{name}"), 0
+                    out, n = store.open_output_stream(f"{folder}/{name}", compression=None), 0
                     files.append([f"{path}/{name}", 0])
                 n += out.write(record(page, target, data, first, revisit))
                 files[-1][1] += 1
