@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_of, whole_row
+from ledgerloom.llm.common import settled, text_of, whole_row
 
 KEEP = {"smallest": F.min, "largest": F.max}
 
@@ -47,7 +47,7 @@ def exact_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", keep: str
     The empty table gives no rows; other columns of ``df`` play no part.
     """
     rows = _keyed(df, id, text).drop("text").alias("r")
-    groups = text_groups(df, id, text, keep).alias("g")
+    groups = settled(text_groups(df, id, text, keep), "groups").alias("g")  # so that AQE can split a hot group's rows
     return rows.join(groups, (F.col("r.hash") == F.col("g.hash")) & (F.col("r.sha") == F.col("g.sha"))).select(
         "r.doc_id",
         "g.keep_id",

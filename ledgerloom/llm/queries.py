@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.common import table
 from ledgerloom.llm.exact import exact_dedup
 from ledgerloom.llm.pii import find_personal_data
+from ledgerloom.llm.quality import judge
 from ledgerloom.llm.shards import shard
 from ledgerloom.llm.warc import warc_round_trip
 from ledgerloom.plans.registry import Register
@@ -48,6 +49,12 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"), keep="largest")
 
 
+@register.add("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and verdicts of all documents."""
+    return judge(table(spark, folder, "documents"))
+
+
 @register.add("op9_sharding")
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
