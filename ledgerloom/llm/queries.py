@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.common import table
 from ledgerloom.llm.exact import exact_dedup
+from ledgerloom.llm.langid import identify
+from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.pii import find_personal_data
 from ledgerloom.llm.quality import judge
 from ledgerloom.llm.shards import shard
@@ -15,6 +17,18 @@ from ledgerloom.plans.registry import Register
 register = Register()
 
 
+@register.add("op3_mixing")
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed by source."""
+    return mix(table(spark, folder, "documents"))
+
+
+@register.add("op4_language_id")
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of all documents."""
+    return identify(table(spark, folder, "documents"))
+
+
 @register.add(
     "op5_warc",
     """
