@@ -8,6 +8,7 @@ from ledgerloom.llm.common import table
 from ledgerloom.llm.exact import exact_dedup
 from ledgerloom.llm.langid import identify
 from ledgerloom.llm.mixing import mix
+from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pii import find_personal_data
 from ledgerloom.llm.quality import judge
 from ledgerloom.llm.shards import shard
@@ -17,6 +18,12 @@ from ledgerloom.plans.registry import Register
 register = Register()
 
 
+@register.add("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return pack(table(spark, folder, "documents"))
+
+
 @register.add("op3_mixing")
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source."""
