@@ -14,17 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import text_of
+from ledgerloom.llm.hashing import FACTOR, SPACE, SPREAD, Powers, text_bytes, words
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SAMPLE = 1000  # rows to learn from per language, about
 SMOOTHING = 0.1  # added to each piece's count
 CHUNK = 2 * 2**20  # bytes of text looked at together
-FACTOR, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)  # odd multipliers of the hashes
 SLOT_BITS = 20
 RESCALE = 16  # bytes after which long words are scaled, so that no probability vanishes
 GROUP = 20_000  # words whose sums are made together
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def pieces(path: str = VOCABULARY) -> list[tuple[int, bytes]]:
@@ -89,17 +87,17 @@ class Model:
     chances: np.ndarray
 
 
-def word_scores(words: np.ndarray, trie: Trie, chances: np.ndarray) -> np.ndarray:
+def word_scores(spelt: np.ndarray, trie: Trie, chances: np.ndarray) -> np.ndarray:
     """Log-probabilities (word, language) of words of one length, given as rows of bytes.
 
     The forward algorithm: what ends at a byte is the sum, over all pieces that end there, of
     what ended where the piece begins times the piece's probability.
     """
-    n, length = words.shape
+    n, length = spelt.shape
     ending = np.zeros((length + 1, n, chances.shape[1]))
     ending[0] = 1.0
     logs = np.zeros((n, chances.shape[1]))
-    bytes_ = np.ascontiguousarray(words.T).astype(np.uint64) + np.uint64(1)
+    bytes_ = np.ascontiguousarray(spelt.T).astype(np.uint64) + np.uint64(1)
     for i in range(length):
         if i and i % RESCALE == 0:
             scale = ending[i].copy()
@@ -123,25 +121,6 @@ def word_scores(words: np.ndarray, trie: Trie, chances: np.ndarray) -> np.ndarra
     return logs + np.log(ending[length])
 
 
-class Powers:
-    """Powers of FACTOR and of its inverse, for hashes of any stretch from one running sum."""
-
-    def __init__(self) -> None:
-        self.size = 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            inverse = np.uint64(pow(int(FACTOR), -1, 2**64))
-            both = []
-            for base in (FACTOR, inverse):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                both.append(np.multiply.accumulate(steps))
-            self.up, self.down = both
-            self.size = n
-        return self.up[:n], self.down[:n]
-
-
 def text_scores(data: np.ndarray, offsets: np.ndarray, trie: Trie, chances: np.ndarray, powers: Powers):
     """(scores by text and language, words by text) of texts that lie in ``data`` one after another."""
     texts = len(offsets) - 1
@@ -155,15 +134,9 @@ def text_scores(data: np.ndarray, offsets: np.ndarray, trie: Trie, chances: np.n
             more = np.flatnonzero(SPACE[data[high : high + CHUNK]] | fresh[high : min(high + CHUNK, len(data))])
             high = high + int(more[0]) if more.size else min(len(data), high + CHUNK)
         part = data[low:high]
-        space = SPACE[part]
-        begins = ~space & np.concatenate(([True], space[:-1]) ) | ~space & fresh[low:high]
-        ends = ~space & (np.concatenate((space[1:], [True])) | fresh[low + 1 : high + 1])
-        starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        starts, stops = words(part, fresh[low : high + 1])
         if starts.size:
-            up, down = powers.upto(len(part) + 1)
-            sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])))
-            hashes = (sums[stops] - sums[starts]) * down[starts]
-            hashes = (hashes ^ (hashes >> np.uint64(31))) * SPREAD + (stops - starts).astype(np.uint64)
+            hashes = powers.hashes(powers.sums(part), starts, stops)
             _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             scores = np.empty((first.size, chances.shape[1]))
             lengths = (stops - starts)[first]
@@ -173,10 +146,10 @@ def text_scores(data: np.ndarray, offsets: np.ndarray, trie: Trie, chances: np.n
                 size = int(lengths[same[0]])
                 for k in range(0, same.size, step := max(1, min(GROUP, 2**21 // (size + 1)))):
                     own = same[k : k + step]
-                    words = np.empty((own.size, size + 1), dtype=np.uint8)
-                    words[:, 0] = 32
-                    words[:, 1:] = part[starts[first[own]][:, None] + np.arange(size)]
-                    scores[own] = word_scores(words, trie, chances)
+                    spelt = np.empty((own.size, size + 1), dtype=np.uint8)
+                    spelt[:, 0] = 32
+                    spelt[:, 1:] = part[starts[first[own]][:, None] + np.arange(size)]
+                    scores[own] = word_scores(spelt, trie, chances)
             text = np.searchsorted(offsets, starts + low, side="right") - 1
             counts += np.bincount(text, minlength=texts)
             each = scores[which]
@@ -241,12 +214,10 @@ def predict(df: DataFrame, model: Model, text: str = "text", path: str = VOCABUL
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, trie, powers = shared.value, Trie(path), Powers()
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_string())
-            offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            named = np.full(len(texts), "und", dtype=object)
-            chance = np.zeros(len(texts))
+            data, offsets = text_bytes(batch.column("text"))
+            texts = len(offsets) - 1
+            named = np.full(texts, "und", dtype=object)
+            chance = np.zeros(texts)
             if known.langs:
                 totals, counts = text_scores(data, offsets, trie, known.chances, powers)
                 even = totals / np.sqrt(np.maximum(counts, 1))[:, None]

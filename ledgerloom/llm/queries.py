@@ -8,6 +8,7 @@ from ledgerloom.llm.common import table
 from ledgerloom.llm.exact import exact_dedup
 from ledgerloom.llm.langid import identify
 from ledgerloom.llm.mixing import mix
+from ledgerloom.llm.near import near_dedup
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pii import find_personal_data
 from ledgerloom.llm.quality import judge
@@ -57,6 +58,12 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc_round_trip(table(spark, folder, "pages"))
 
 
+@register.add("op6_minhash_dedup")
+def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near copies among all documents."""
+    return near_dedup(table(spark, folder, "documents")).drop("tkey")
+
+
 @register.add(
     "op7_exact_dedup",
     """
