@@ -16,7 +16,8 @@ from ledgerloom.llm.hashing import SPREAD, Powers, mixed, text_bytes, words
 WORDS = 5  # words of a shingle
 SIMILAR = 0.8  # Jaccard similarity from which two texts are near copies
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares a band but for 3 in a million, and most share several
-NEXT = 8  # further bands that a mixed bucket is split by
+NEXT = 4  # further bands that a large mixed bucket is split by
+MIXED = 64  # pairs of different classes per member up to which a bucket's are compared at once
 LEVELS = [0.0] + [4.0**k for k in range(-3, 12)]  # borders of the ranks that darts are thrown for
 CHUNK = 4 * 2**20
 
@@ -189,51 +190,64 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(df: DataFrame, nodes: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(center, node) pairs of different shingle sets with at least the similarity, enough to connect every class.
 
-    Sets that share a band are a bucket. Its smallest member is the center, and each other one is
-    compared with it alone: no pairs within a bucket. A bucket whose members are all near its
-    center is done. Otherwise those that are not near stay, and with them, as far as the
-    triangle inequality allows a link to them, those that are; the center goes, and the rest is
-    split by further bands, so that texts which only share a passage part. This goes on until
-    no bucket is left: members are never capped. Pairs compared before are not compared again.
+    Sets that share a band are a bucket. In the first round its smallest member is the center,
+    and each other one is compared with it alone: no pairs within a bucket. From then on only
+    pairs of members in different classes matter, and a bucket in one class is done. A mixed
+    bucket with few such pairs for its size has them compared. A larger one has its center
+    compared with members of other classes; then the center goes and the rest is split by
+    further bands, which a pair at the similarity shares more often than not while texts that
+    have only a passage in common part. This goes on until no mixed bucket is left: members are
+    never capped. Pairs compared before are not compared again.
     """
     spark = df.sparkSession
     keys = F.posexplode("bands").alias("last", "band")
     keyed = nodes.select("node", keys).select("node", "last", F.xxhash64("last", "band").alias("key"))
-    sets, seen, found = None, None, []
+    shared = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1")
+    members = settled(keyed.join(shared.drop("n"), "key"), "buckets")
+    pairs = members.filter("node != center").select("center", "node").distinct()
+    active = members.select("node").distinct()
+    sets = settled(_fetched(df, nodes.drop("bands").join(active, "node", "left_semi"), id, text), "sets")
+    seen = settled(_compared(pairs, sets), "compared")
+    found = seen.filter(F.col("sim") >= similar).select("center", "node")
+    members = members.select("node", "last", "key")
     while True:
-        centers = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1")
-        grouped = settled(keyed.join(centers.drop("n"), "key").filter("node != center"), "buckets")
-        if grouped.isEmpty():
-            break
-        pairs = grouped.select("center", "node").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["center", "node"], "left_anti")
-        if sets is None:
-            active = pairs.select("node").union(pairs.select("center")).distinct()
-            sets = settled(_fetched(df, nodes.drop("bands").join(active, "node", "left_semi"), id, text), "sets")
-        known = settled(_compared(pairs, sets), "compared")
-        found.append(known.filter(F.col("sim") >= similar).select("center", "node"))
-        seen = known if seen is None else seen.unionByName(known)
-        judged = grouped.join(seen, ["center", "node"])
-        far = F.col("sim") < similar
-        worst = judged.filter(far).groupBy("key").agg(F.max("sim").alias("nearest"))  # far, but least so
-        bound = F.col("nearest") + (1 - similar)  # a near one above it cannot reach any far one
-        rest = settled(
-            judged.join(worst, "key").filter(far | ((F.col("sim") <= bound) & (F.col("nearest") >= 2 * similar - 1))).select(
-                "key", "last", "node"
+        labels = classes(found)
+        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        by_class = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("node").alias("center"))
+        n = F.col("n").cast("double")
+        mixed_ = settled(
+            by_class.groupBy("key")
+            .agg(
+                F.sum("n").alias("size"), F.count("*").alias("labels"), F.sum(n * n).alias("squares"),
+                F.min(F.struct("n", "label", "center")).alias("least"),  # the center is of the smallest class
+            )
+            .filter("labels > 1")
+            .select(
+                "key", F.col("least.label").alias("own"), F.col("least.center").alias("center"),
+                ((F.col("size") * F.col("size") - F.col("squares")) / 2 > MIXED * F.col("size")).alias("large"),
             ),
-            "rest",
-        )
-        if rest.isEmpty():
-            break
+            "mixed",
+        )
+        if mixed_.isEmpty():
+            return found
+        in_mixed = settled(labelled.join(mixed_, "key"), "members")
+        few = in_mixed.filter("NOT large").select("key", "node", "label")
+        other = few.select("key", F.col("node").alias("center"), F.col("label").alias("own"))
+        close = few.join(other, "key").filter((F.col("label") != F.col("own")) & (F.col("center") < F.col("node")))
+        star = in_mixed.filter("large AND label != own")
+        pairs = close.select("center", "node").union(star.select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node")))
+        fresh = settled(_compared(pairs.distinct().join(seen, ["center", "node"], "left_anti"), sets), "compared")
+        found = found.unionByName(fresh.filter(F.col("sim") >= similar).select("center", "node"))
+        seen = seen.unionByName(fresh)
+        rest = in_mixed.filter("large AND node != center").select("node", "key", "last")
         step = F.explode(F.sequence(F.lit(1), F.lit(NEXT))).alias("step")
-        wide = rest.join(nodes.select("node", "bands"), "node").select("node", "key", "last", "bands", step)
+        wide = rest.join(nodes.select("node", "bands"), "node").select("node", "key", "bands", "last", step)
         wide = wide.withColumn("last", (F.col("last") + F.col("step")) % BANDS)
         keyed = wide.select("node", "last", F.xxhash64("key", "last", F.get("bands", F.col("last"))).alias("key"))
-    out = spark.createDataFrame([], "center binary, node binary") if not found else found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        members = settled(keyed.join(shared, "key", "left_semi"), "buckets")
+        if members.isEmpty():
+            return found
 
 
 def classes(pairs: DataFrame) -> DataFrame:

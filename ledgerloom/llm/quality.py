@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import SPACES, let, settled, text_of, words_of
 
+FEW = 24  # repeated windows up to which a search in their list beats sorting
 CLASSES = ("lower", "upper", "space", "digit", "symbol", "stop", "other")
 
 
@@ -66,16 +67,28 @@ def _classed(df: DataFrame) -> DataFrame:
 def _repeated(words: Column) -> Column:
     """Words in three-word windows found twice or more. Windows are compared by a 64-bit hash."""
 
-    def covered(windows: Column) -> Column:
-        placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def union(starts: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
+
+    def placed(found: Column, windows: Column) -> Column:
+        marked = F.transform(windows, lambda h, i: F.when(F.array_contains(found, h), i))
+        return union(F.filter(marked, lambda i: i.isNotNull()))
 
+    def paired(windows: Column) -> Column:
         def starts(s: Column) -> Column:
             twin = lambda e, j: F.get(s, j)["h"].eqNullSafe(e["h"])
             marked = F.transform(s, lambda e, j: F.when(twin(e, j - 1) | twin(e, j + 1), e["i"]))
             return F.filter(marked, lambda i: i.isNotNull())
 
-        found = let(placed, starts)
-        return F.size(F.array_distinct(F.flatten(F.transform(found, lambda i: F.array(i, i + 1, i + 2)))))
+        return union(let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), starts))
+
+    def covered(windows: Column) -> Column:
+        """A few repeated windows are looked up one by one, many by sorting with their places."""
+        again = let(F.sort_array(windows), lambda s: F.filter(s, lambda h, i: F.get(s, i + 1).eqNullSafe(h)))
+        return let(
+            F.array_distinct(again),
+            lambda found: F.when(F.size(found) <= FEW, placed(found, windows)).otherwise(paired(windows)),
+        )
 
     windows = F.transform(
         F.sequence(F.lit(0), F.size(words) - 3),
