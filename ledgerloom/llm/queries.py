@@ -13,6 +13,7 @@ from ledgerloom.llm.packing import pack
 from ledgerloom.llm.pii import find_personal_data
 from ledgerloom.llm.quality import judge
 from ledgerloom.llm.shards import shard
+from ledgerloom.llm.suffix import remove_repeats
 from ledgerloom.llm.warc import warc_round_trip
 from ledgerloom.plans.registry import Register
 
@@ -25,6 +26,12 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+@register.add("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of all documents in strings of 200 that start elsewhere, too."""
+    return remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 @register.add("op3_mixing")
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source."""
