@@ -17,7 +17,7 @@ WORDS = 5  # words of a shingle
 SIMILAR = 0.8  # Jaccard similarity from which two texts are near copies
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares a band but for 3 in a million, and most share several
 NEXT = 4  # further bands that a large mixed bucket is split by
-MIXED = 64  # pairs of different classes per member up to which a bucket's are compared at once
+MIXED = 16  # pairs of different classes per member up to which a bucket's are compared at once
 LEVELS = [0.0] + [4.0**k for k in range(-3, 12)]  # borders of the ranks that darts are thrown for
 CHUNK = 4 * 2**20
 
@@ -193,8 +193,8 @@ def links(df: DataFrame, nodes: DataFrame, id: str = "doc_id", text: str = "text
     Sets that share a band are a bucket. In the first round its smallest member is the center,
     and each other one is compared with it alone: no pairs within a bucket. From then on only
     pairs of members in different classes matter, and a bucket in one class is done. A mixed
-    bucket with few such pairs for its size has them compared. A larger one has its center
-    compared with members of other classes; then the center goes and the rest is split by
+    bucket with few such pairs for its size has them compared. A larger one gets a
+    center from its largest class, which members of other classes are compared with; then the center goes and the rest is split by
     further bands, which a pair at the similarity shares more often than not while texts that
     have only a passage in common part. This goes on until no mixed bucket is left: members are
     never capped. Pairs compared before are not compared again.
@@ -213,17 +213,18 @@ def links(df: DataFrame, nodes: DataFrame, id: str = "doc_id", text: str = "text
     while True:
         labels = classes(found)
         labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        by_class = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("node").alias("center"))
+        drawn = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node"))  # buckets of one class get many centers
+        by_class = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), drawn.alias("drawn"))
         n = F.col("n").cast("double")
         mixed_ = settled(
             by_class.groupBy("key")
             .agg(
                 F.sum("n").alias("size"), F.count("*").alias("labels"), F.sum(n * n).alias("squares"),
-                F.min(F.struct("n", "label", "center")).alias("least"),  # the center is of the smallest class
+                F.max(F.struct("n", "label", F.col("drawn.node").alias("center"))).alias("most"),
             )
             .filter("labels > 1")
             .select(
-                "key", F.col("least.label").alias("own"), F.col("least.center").alias("center"),
+                "key", F.col("most.label").alias("own"), F.col("most.center").alias("center"),
                 ((F.col("size") * F.col("size") - F.col("squares")) / 2 > MIXED * F.col("size")).alias("large"),
             ),
             "mixed",
