@@ -161,12 +161,12 @@ def plan_mix(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int
     routed = flow(capacity, members, {s: round(t) for s, t in want.items()}, costs[:epochs])
     shares = {p: Share(*(divmod(routed[p], n) if n else (0, 0))) for p, n in capacity.items()}
     first = _thresholds(narrow, {p: s.part for p, s in shares.items() if s.part})
-    again = _thresholds(narrow, {p: gap for p, (_, gap) in first.items() if gap > 1}, {p: t for p, (t, _) in first.items()})
+    again = _thresholds(narrow, {p: gap for p, (_, gap) in first.items() if gap}, {p: t for p, (t, _) in first.items()})
     lead = {p: in_order(own)[0] for p, own in members.items()}
     rows = []
     for p, s in shares.items():
         below, gap = first.get(p, (0, 0))
-        rows.append((p, s.full, below, gap // 2, again.get(p, (0, 0))[0], sizes[lead[p]], float(want[lead[p]])))
+        rows.append((p, s.full, below, max(0, 2 * gap - 1), again.get(p, (0, 0))[0], sizes[lead[p]], float(want[lead[p]])))
     return spark.createDataFrame(
         rows, "_pattern string, full int, below long, small long, filled long, source_size long, target double"
     )
@@ -180,8 +180,8 @@ def _thresholds(
     Each step counts the words of 2**STEP_BITS ranges of the draw and goes on inside the range in
     which the wanted sum lies; after the last step a range holds a document or none. Only that
     range, one row per pattern, comes back. The first round stops short of the document that
-    would go over. The round that fills the gap, of ``above``, looks at later documents of up to
-    half the gap and takes the last one if that is nearer.
+    would go over. The round that fills the gap, of ``above``, looks at later documents of less than
+    twice the gap and takes the last one if that is nearer.
     """
     spark, low, need = narrow.sparkSession, dict.fromkeys(wanted, 0), dict(wanted)
     left, fill = dict(wanted), above is not None
@@ -190,7 +190,7 @@ def _thresholds(
             break
         shift = DRAW_BITS - STEP_BITS * step
         state = spark.createDataFrame(
-            [(p, low[p] >> (shift + STEP_BITS), n, above[p] if fill else 0, wanted[p] // 2) for p, n in need.items()],
+            [(p, low[p] >> (shift + STEP_BITS), n, above[p] if fill else 0, 2 * wanted[p] - 1) for p, n in need.items()],
             "_p string, prefix long, need long, above long, most long",
         )
         inside = narrow.join(F.broadcast(state), F.col("_pattern") == F.col("_p")).filter(  # a row per pattern
@@ -233,8 +233,8 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     Sources (a string, or an array of them where they overlap) share all words by ``weights``,
     repeated in code point order, null last; targets stop at ``epochs`` times a source's words
     and what is left is shared again. Whole documents are taken, by a seeded draw of id and
-    text, so reruns agree; where the next document would go over, later ones of up to half the gap
-    fill it, so a source misses its target by a small part of a document where it has such. ``source_size`` and ``target`` are those of the first of
+    text, so reruns agree; where the next document would go over, later ones of less than
+    twice the gap fill it, so a source misses its target by a small part of a document where it has such. ``source_size`` and ``target`` are those of the first of
     a row's sources. Null text has no words; an empty table gives no rows; repeated rows are
     taken or left together; other columns are ignored.
     """

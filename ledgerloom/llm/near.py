@@ -84,7 +84,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, powers: Powers, size: in
     made = np.zeros(first.size, dtype=np.uint64)
     for k in range(size):
         at = np.minimum(first + k, text.size - 1)
-        made = mixed(made + np.where(text[at] == text[first], each[at], np.uint64(0)) + np.uint64(k))
+        inside = (first + k < text.size) & (text[at] == text[first])
+        made = mixed(made + np.where(inside, each[at], np.uint64(0)) + np.uint64(k))
     owner = text[first]
     order = np.lexsort((made, owner))
     made, owner = made[order], owner[order]
