@@ -126,8 +126,10 @@ def code(prefix: str, *cols: ColumnLike, width: int = 6) -> Column:
 def fk(u: Column, n_parent: int, skew: float = 1.0, start: int = 1) -> Column:
     """Key of a dense parent, ``start`` to ``start + n_parent - 1``; ``skew`` > 1 favours low keys.
 
-    Needs no join. The upper clamp covers powers that round up to 1.
+    Needs no join. The upper clamp covers powers that round up to 1. An empty parent is refused.
     """
+    if n_parent < 1:
+        raise ValueError("the parent has no keys to draw from")
     spread = u if skew == 1.0 else F.pow(u, F.lit(float(skew)))
     index = F.floor(spread * F.lit(float(n_parent)))
     return F.lit(start).cast("bigint") + F.least(index, F.lit(n_parent - 1).cast("bigint"))

@@ -41,13 +41,16 @@ def fk_sparse(
     """Adds a foreign key into a parent whose keys have gaps.
 
     The parent's keys are numbered 1..n in key order, the draw picks a number, and an
-    equi-join turns it into the key. The number's join may be skewed, so it is salted.
+    equi-join turns it into the key. The number's join may be skewed, so it is salted. A row
+    without a draw gets no key; a parent without keys is refused.
     """
     keys = parent.filter(F.col(key).isNotNull()).select(F.col(key).alias(out)).distinct()
     n = keys.count()
+    if not n:
+        raise ValueError(f"the parent has no {key} to draw from")
     indexed = dense_number(keys, [], [out], "_index", limits, rows=n)
     placed = df.withColumn("_index", fk(u, n, skew))
-    return lookup_join(placed, indexed, ["_index"], "inner", row_key, limits, n).drop("_index")
+    return lookup_join(placed, indexed, ["_index"], "left", row_key, limits, n).drop("_index")
 
 
 def fanout(df: DataFrame, n: ColumnLike, out: str = "line_no", block: int | None = None) -> DataFrame:

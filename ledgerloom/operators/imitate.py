@@ -151,7 +151,10 @@ def resample(
 def quantile_grid(df: DataFrame, col: str, steps: int = 100, limits: Limits = LIMITS) -> list[float]:
     """``steps + 1`` exact quantiles of a column, from its minimum to its maximum."""
     probs = [i / steps for i in range(steps + 1)]
-    return [r["quantile"] for r in quantiles(df, [col], probs, limits).sort("p").collect()]
+    grid = [r["quantile"] for r in quantiles(df, [col], probs, limits).sort("p").collect()]
+    if not grid:
+        raise ValueError(f"{col} has no values to take quantiles of")
+    return grid
 
 
 def from_quantiles(u: Column, grid: Sequence[float]) -> Column:

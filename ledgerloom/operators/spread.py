@@ -25,6 +25,7 @@ class Limits:
 
     broadcast_rows: int = 200_000  # largest counted side to broadcast
     broadcast_bytes: int = 64 * 2**20  # the same for its text, measured where it has any
+    array_rows: int = 4_096  # most history rows of one key to search as an array
     heavy_rows: int = 2_000_000  # groups up to this size go to one task
     heavy_share: float = 1e-4  # larger groups are heavy from this share of all rows
     max_chunks: int = 4096  # most pieces the heavy groups are cut into
@@ -64,6 +65,14 @@ def _mark(df: DataFrame, keys: Sequence[str], table: DataFrame) -> DataFrame:
     return marked.drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+HOWS = ("inner", "left", "left_semi", "left_anti")
+
+
+def _check_how(how: str) -> None:
+    if how not in HOWS:
+        raise ValueError(f"how must be one of {', '.join(HOWS)}, not {how!r}")
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -77,7 +86,9 @@ def salted_join(
     Only the matching rows of ``small`` are repeated, once per piece. ``row_key`` names the
     columns that tell ``big``'s rows apart (all of them by default). The salt comes from a
     hash of those, not from ``rand``, so a task that runs twice sends rows the same way.
+    ``how`` must keep no unmatched row of ``small``, which would come out once per piece.
     """
+    _check_how(how)
     on = list(on)
     heavy, _ = heavy_keys(big, on, limits)
     if not heavy:
@@ -116,7 +127,11 @@ def lookup_join(
     limits: Limits = LIMITS,
     rows: int | None = None,
 ) -> DataFrame:
-    """Broadcasts ``small`` if its ``rows`` (counted here if not known) allow it, else salts the join."""
+    """Broadcasts ``small`` if its ``rows`` (counted here if not known) allow it, else salts the join.
+
+    ``how`` is one of HOWS, whatever the size.
+    """
+    _check_how(how)
     if fits_broadcast(small, small.count() if rows is None else rows, limits):
         return big.join(F.broadcast(small), list(on), how)
     return salted_join(big, small, on, how, row_key, limits)
@@ -293,7 +308,8 @@ def asof(
     no shuffle of ``df``. Otherwise both sides are put in one time line per key and the last
     history row is carried on, so the work grows with rows plus versions, never with their
     product; keys that hold many rows are scanned in pieces. ``row_key`` tells the rows of
-    ``df`` apart; a key has one history row per ``valid_from``. Rows before the first
+    ``df`` apart; of history rows at one time the
+    greatest values count. Rows before the first
     version, and rows whose key or time is null, get nulls.
     """
     on = list(on)
@@ -301,9 +317,10 @@ def asof(
     hist = hist.filter(F.col(valid_from).isNotNull()).select(
         *on, F.col(valid_from).cast(at_type).alias("_from"), F.struct(*values).alias("_found")
     )
+    hist = hist.groupBy(*on, "_from").agg(F.max("_found").alias("_found"))  # of equal times the greatest values
     sizes = hist.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
     rows, most = sizes.head()
-    if fits_broadcast(hist, rows or 0, limits):
+    if (most or 0) <= limits.array_rows and fits_broadcast(hist, rows or 0, limits):
         parts = F.sort_array(F.collect_list(F.struct("_from", "_found"))).alias("_parts")
         # two plain arrays: a field of an array of structs would be copied out at every step
         begins, founds = F.col("_parts._from").alias("_begins"), F.col("_parts._found").alias("_founds")

@@ -38,12 +38,18 @@ def stream(spark: SparkSession, seed: int, rps: int, customers: int, parts: int
 
 
 def replay(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A given Parquet table as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A given Parquet table, one file or a folder of files, as a stream of its files."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    files = table.inputFiles()
+    if not files:
+        raise ValueError(f"{path} holds no files")
+    source = spark.readStream.schema(table.schema)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
-    return source.parquet(folder)
+    if any(file.rstrip("/").rpartition("/")[2] != f"{name}.parquet" for file in files):
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def windowed(feed: DataFrame, ts: str, size: str, delay: str, by: Sequence[str], *aggregates: Column) -> DataFrame:
@@ -61,12 +67,13 @@ def dedup(feed: DataFrame, ids: ColumnLike | Sequence[str], ts: str, delay: str)
     return feed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_append(feed: DataFrame, label: str, fmt: str = "parquet") -> DataFrame:
+def run_append(feed: DataFrame, label: str, fmt: str = "parquet", folder: str | None = None) -> DataFrame:
     """Runs a stream over all input there is, into files, and returns what was written.
 
-    Files and checkpoint lie in the shared working folder, so a lost driver can go on.
+    Files and checkpoint lie in ``folder``; a run with the same folder goes on where one before
+    it ended. Without it a fresh folder is taken, and nothing can go on.
     """
-    folder = work_dir(feed.sparkSession, label)
+    folder = folder or work_dir(feed.sparkSession, label)
     query = (
         feed.writeStream.format(fmt)
         .option("path", f"{folder}/rows")
@@ -79,16 +86,19 @@ def run_append(feed: DataFrame, label: str, fmt: str = "parquet") -> DataFrame:
     return feed.sparkSession.read.schema(feed.schema).format(fmt).load(f"{folder}/rows")
 
 
-def run_latest(feed: DataFrame, label: str, keys: Sequence[Column | str]) -> DataFrame:
+def run_latest(
+    feed: DataFrame, label: str, keys: Sequence[Column | str], folder: str | None = None
+) -> DataFrame:
     """Runs an aggregate over all input there is and returns every group's latest state.
 
     Append mode would hold back windows the watermark has not passed. Update mode writes
     them all; each batch has its own folder, which a repeated batch overwrites, and the
-    newest row per group counts.
+    newest row per group counts. ``folder`` is as in ``run_append``; no input gives no rows.
     """
     spark = feed.sparkSession
-    folder = work_dir(spark, label)
+    folder = folder or work_dir(spark, label)
     columns = feed.columns
+    spark.createDataFrame([], feed.schema).write.mode("ignore").parquet(f"{folder}/rows/batch=-1")
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
