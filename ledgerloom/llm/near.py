@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import settled, text_of, whole_row
@@ -188,19 +188,31 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("center", "node", "a", "b").mapInArrow(compare, "center binary, node binary, sim double")
 
 
-def links(df: DataFrame, nodes: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """(center, node) pairs of different shingle sets with at least the similarity, enough to connect every class.
+def _reach(sets: DataFrame) -> DataFrame:
+    """(node, size, shared): how many shingles a set has, and how many of them another set has, too.
 
-    Sets that share a band are a bucket. In the first round its smallest member is the center,
-    and each other one is compared with it alone: no pairs within a bucket. From then on only
-    pairs of members in different classes matter, and a bucket in one class is done. A mixed
-    bucket with few such pairs for its size has them compared. A larger one gets a
-    center from its largest class, which members of other classes are compared with; then the center goes and the rest is split by
-    further bands, which a pair at the similarity shares more often than not while texts that
-    have only a passage in common part. This goes on until no mixed bucket is left: members are
-    never capped. Pairs compared before are not compared again.
+    Two sets have at most the smaller ``shared`` in common, which rules out most sets that hold
+    a common passage or a copy with many changes before any pair is made.
     """
-    spark = df.sparkSession
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                shingle, (high, low) = np.frombuffer(data, "<i4"), np.frombuffer(node, ">i8")
+                yield pa.RecordBatch.from_pydict(
+                    {"shingle": shingle, "high": np.full(shingle.size, high), "low": np.full(shingle.size, low)}
+                )
+
+    rows = sets.mapInArrow(spell, "shingle int, high long, low long")
+    by_shingle = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("high").alias("high"), F.min("low").alias("low"))
+    own = by_shingle.filter("n = 1").groupBy("high", "low").agg(F.count("*").alias("own"))
+    half = lambda at: F.conv(F.hex(F.substring("node", at, 8)), 16, -10).cast("long")
+    sized = sets.select("node", (F.length("shingles") / 4).cast("long").alias("size"), half(1).alias("high"), half(9).alias("low"))
+    return sized.join(own, ["high", "low"], "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _linked(df: DataFrame, nodes: DataFrame, id: str, text: str, similar: float) -> tuple[DataFrame, DataFrame]:
+    """``links`` and the ``classes`` that they connect."""
     keys = F.posexplode("bands").alias("last", "band")
     keyed = nodes.select("node", keys).select("node", "last", F.xxhash64("last", "band").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1")
@@ -210,46 +222,77 @@ def links(df: DataFrame, nodes: DataFrame, id: str = "doc_id", text: str = "text
     sets = settled(_fetched(df, nodes.drop("bands").join(active, "node", "left_semi"), id, text), "sets")
     seen = settled(_compared(pairs, sets), "compared")
     found = seen.filter(F.col("sim") >= similar).select("center", "node")
-    members = members.select("node", "last", "key")
-    while True:
-        labels = classes(found)
-        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        drawn = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node"))  # buckets of one class get many centers
+    labels = classes(found)
+    label = F.coalesce("label", "node")
+
+    def may(size: Column, other: Column, common: Column) -> Column:
+        return common * (1 + similar) >= (size + other) * similar - 1e-6
+
+    # only buckets of several classes go on, and of them only members that could be linked to one at least
+    members = members.select("key", "node", "last")
+    several = members.join(labels, "node", "left").select("key", label.alias("label")).groupBy("key")
+    several = several.agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("key")
+    members = settled(members.join(several, "key", "left_semi"), "buckets")
+    reach = _reach(sets.join(members.select("node").distinct(), "node", "left_semi"))
+    members = settled(members.join(reach, "node"), "reach")
+    least = members.groupBy("key").agg(F.min("size").alias("least"))
+    members = settled(members.join(least, "key").filter(may(F.col("size"), F.col("least"), F.col("shared"))).drop("least"), "able")
+    while not members.isEmpty():
+        labelled = members.join(labels, "node", "left").withColumn("label", label)
+        drawn = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "size", "shared"))  # buckets of one class get many centers
         by_class = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), drawn.alias("drawn"))
         n = F.col("n").cast("double")
-        mixed_ = settled(
+        mixed_ = (
             by_class.groupBy("key")
             .agg(
-                F.sum("n").alias("size"), F.count("*").alias("labels"), F.sum(n * n).alias("squares"),
-                F.max(F.struct("n", "label", F.col("drawn.node").alias("center"))).alias("most"),
+                F.sum("n").alias("all"), F.count("*").alias("labels"), F.sum(n * n).alias("squares"),
+                F.max(F.struct("n", "label", "drawn")).alias("most"),
             )
             .filter("labels > 1")
             .select(
-                "key", F.col("most.label").alias("own"), F.col("most.center").alias("center"),
-                ((F.col("size") * F.col("size") - F.col("squares")) / 2 > MIXED * F.col("size")).alias("large"),
-            ),
-            "mixed",
+                "key", F.col("most.label").alias("own"), F.col("most.drawn").alias("center"),
+                ((F.col("all") * F.col("all") - F.col("squares")) / 2 > MIXED * F.col("all")).alias("large"),
+            )
         )
-        if mixed_.isEmpty():
-            return found
         in_mixed = settled(labelled.join(mixed_, "key"), "members")
-        few = in_mixed.filter("NOT large").select("key", "node", "label")
-        other = few.select("key", F.col("node").alias("center"), F.col("label").alias("own"))
-        close = few.join(other, "key").filter((F.col("label") != F.col("own")) & (F.col("center") < F.col("node")))
-        star = in_mixed.filter("large AND label != own")
-        pairs = close.select("center", "node").union(star.select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node")))
+        few = in_mixed.filter("NOT large")
+        x, y = few.alias("x"), few.alias("y")
+        differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
+        close = x.join(y, differ & may(F.col("x.size"), F.col("y.size"), F.least("x.shared", "y.shared")))
+        star = in_mixed.filter("large AND label != own").filter(may(F.col("size"), F.col("center.size"), F.least("shared", "center.shared")))
+        ends = (F.least("center.node", "node").alias("center"), F.greatest("center.node", "node").alias("node"))
+        pairs = close.select(F.col("x.node").alias("center"), F.col("y.node").alias("node")).union(star.select(*ends))
         fresh = settled(_compared(pairs.distinct().join(seen, ["center", "node"], "left_anti"), sets), "compared")
-        found = found.unionByName(fresh.filter(F.col("sim") >= similar).select("center", "node"))
         seen = seen.unionByName(fresh)
-        rest = in_mixed.filter("large AND node != center").select("node", "key", "last")
+        fresh = fresh.filter(F.col("sim") >= similar).select("center", "node")
+        if not fresh.isEmpty():
+            found = found.unionByName(fresh)
+            labels = classes(found)
+        rest = in_mixed.filter("large AND node != center.node").select("node", "size", "shared", "key", "last")
+        if rest.isEmpty():
+            break
         step = F.explode(F.sequence(F.lit(1), F.lit(NEXT))).alias("step")
-        wide = rest.join(nodes.select("node", "bands"), "node").select("node", "key", "bands", "last", step)
-        wide = wide.withColumn("last", (F.col("last") + F.col("step")) % BANDS)
-        keyed = wide.select("node", "last", F.xxhash64("key", "last", F.get("bands", F.col("last"))).alias("key"))
+        wide = rest.join(nodes.select("node", "bands"), "node").select("*", step).withColumn("last", (F.col("last") + F.col("step")) % BANDS)
+        keyed = wide.select("node", "size", "shared", "last", F.xxhash64("key", "last", F.get("bands", F.col("last"))).alias("key"))
         shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         members = settled(keyed.join(shared, "key", "left_semi"), "buckets")
-        if members.isEmpty():
-            return found
+    return found, labels
+
+
+def links(df: DataFrame, nodes: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(center, node) pairs of different shingle sets with at least the similarity, enough to connect every class.
+
+    Sets that share a band are a bucket. In the first round its smallest member is the center,
+    and each other one is compared with it alone: no pairs within a bucket. From then on only
+    pairs of members in different classes matter, and a bucket in one class is done. Members
+    go that have too few shingles in common with all other sets for any link (``_reach``). A mixed
+    bucket with few such pairs for its size has them compared. A larger one gets a
+    center from its largest class, which members of other classes are compared with; then the center goes and the rest is split by
+    further bands, which a pair at the similarity shares more often than not while texts that
+    have only a passage in common part. This goes on until no mixed bucket is left: members are
+    never capped. Pairs compared before are not compared again.
+    """
+    return _linked(df, nodes, id, text, similar)[0]
 
 
 def classes(pairs: DataFrame) -> DataFrame:
@@ -297,7 +340,7 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", similar: f
         ),
         "nodes",
     )
-    labels = classes(links(df, nodes, id, text, similar))
+    _, labels = _linked(df, nodes, id, text, similar)
     own = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     sizes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     named = own.join(sizes, "node")
