@@ -16,7 +16,7 @@ from ledgerloom.llm.hashing import SPREAD, Powers, mixed, text_bytes, words
 WORDS = 5  # words of a shingle
 SIMILAR = 0.8  # Jaccard similarity from which two texts are near copies
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares a band but for 3 in a million, and most share several
-NEXT = 4  # further bands that a large mixed bucket is split by
+NEXT = 3  # further bands that a large mixed bucket is split by
 MIXED = 16  # pairs of different classes per member up to which a bucket's are compared at once
 LEVELS = [0.0] + [4.0**k for k in range(-3, 12)]  # borders of the ranks that darts are thrown for
 CHUNK = 4 * 2**20
