@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ WORDS = 5  # words of a shingle
 SIMILAR = 0.8  # Jaccard similarity from which two texts are near copies
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares a band but for 3 in a million, and most share several
 NEXT = 4  # further bands that a large mixed bucket is split by
+PLANES, MISSED = 4, 1e-6  # bits of each coordinate in a sketch; chance that it hides a pair at the similarity
 MIXED = 16  # pairs of different classes per member up to which a bucket's are compared at once
 LEVELS = [0.0] + [4.0**k for k in range(-3, 12)]  # borders of the ranks that darts are thrown for
 CHUNK = 4 * 2**20
@@ -66,6 +69,28 @@ def darts(items: np.ndarray, owner: np.ndarray, owners: int, k: int) -> np.ndarr
     return out
 
 
+def sketches(values: np.ndarray) -> np.ndarray:
+    """The lowest PLANES bits of each coordinate, plane by plane, in two words a plane: (owner, 2 * PLANES)."""
+    places = np.uint64(1) << np.arange(BANDS * ROWS // 2, dtype=np.uint64)
+    halves = values.reshape(len(values), 2, places.size)
+    planes = [((halves >> np.uint64(p) & np.uint64(1)) * places).sum(axis=2) for p in range(PLANES)]
+    return np.concatenate(planes, axis=1)
+
+
+def _unlike(x: str, y: str) -> Column:
+    """How many coordinates differ in two sketches."""
+    apart = lambda at: F.get(x, F.lit(at)).bitwiseXOR(F.get(y, F.lit(at)))
+    halves = [reduce(Column.bitwiseOR, [apart(2 * p + half) for p in range(PLANES)]) for half in (0, 1)]
+    return F.bit_count(halves[0]) + F.bit_count(halves[1])
+
+
+def most_unlike(similar: float) -> int:
+    """The number of differing coordinates that a pair at the similarity exceeds with a chance below MISSED."""
+    k, q = BANDS * ROWS, (1 - similar) * (1 - 0.5**PLANES)
+    chance = [math.comb(k, n) * q**n * (1 - q) ** (k - n) for n in range(k + 1)]
+    return next(n for n in range(k + 1) if sum(chance[n + 1 :]) < MISSED)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, powers: Powers, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, text) of all texts: the different shingles of each, sorted by text and value.
 
@@ -118,30 +143,33 @@ def _sets(batch: pa.RecordBatch, powers: Powers) -> Iterator[tuple[pa.RecordBatc
 
 
 def signatures(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tkey (a hash of the text), node (the name of the shingle set; null without words), bands."""
+    """doc_id, tkey (a hash of the text), node (the name of the shingle set; null without words), bands, sketch."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             for part, made, owner, names in _sets(batch, powers):
-                values = darts(made, owner, part.num_rows, BANDS * ROWS).reshape(part.num_rows, BANDS, ROWS)
+                thrown = darts(made, owner, part.num_rows, BANDS * ROWS)
+                values = thrown.reshape(part.num_rows, BANDS, ROWS)
                 bands = np.zeros(values.shape[:2], dtype=np.uint64)
                 for r in range(ROWS):
                     bands = mixed(bands + values[:, :, r])
-                flat = pa.array(bands.reshape(-1).view(np.int64))
+                rows_of = lambda table: pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]),
+                    pa.array(np.ascontiguousarray(table).reshape(-1).view(np.int64)),
+                )
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
                         "tkey": part.column("tkey"),
                         "node": pa.array(names, pa.binary()),
-                        "bands": pa.ListArray.from_arrays(
-                            pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS), flat
-                        ),
+                        "bands": rows_of(bands),
+                        "sketch": rows_of(sketches(thrown)),
                     }
                 )
 
     kind = df.schema[id].dataType.simpleString()
-    return _keyed(df, id, text).mapInArrow(sign, f"doc_id {kind}, tkey long, node binary, bands array<long>")
+    return _keyed(df, id, text).mapInArrow(sign, f"doc_id {kind}, tkey long, node binary, bands array<long>, sketch array<long>")
 
 
 def _keyed(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -219,7 +247,7 @@ def _linked(df: DataFrame, nodes: DataFrame, id: str, text: str, similar: float)
     members = settled(keyed.join(shared.drop("n"), "key"), "buckets")
     pairs = members.filter("node != center").select("center", "node").distinct()
     active = members.select("node").distinct()
-    sets = settled(_fetched(df, nodes.drop("bands").join(active, "node", "left_semi"), id, text), "sets")
+    sets = settled(_fetched(df, nodes.drop("bands", "sketch").join(active, "node", "left_semi"), id, text), "sets")
     seen = settled(_compared(pairs, sets), "compared")
     found = seen.filter(F.col("sim") >= similar).select("center", "node")
     labels = classes(found)
@@ -228,18 +256,20 @@ def _linked(df: DataFrame, nodes: DataFrame, id: str, text: str, similar: float)
     def may(size: Column, other: Column, common: Column) -> Column:
         return common * (1 + similar) >= (size + other) * similar - 1e-6
 
+    far = most_unlike(similar)
+
     # only buckets of several classes go on, and of them only members that could be linked to one at least
     members = members.select("key", "node", "last")
     several = members.join(labels, "node", "left").select("key", label.alias("label")).groupBy("key")
     several = several.agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("key")
     members = settled(members.join(several, "key", "left_semi"), "buckets")
     reach = _reach(sets.join(members.select("node").distinct(), "node", "left_semi"))
-    members = settled(members.join(reach, "node"), "reach")
+    members = settled(members.join(reach.join(nodes.select("node", "sketch"), "node"), "node"), "reach")
     least = members.groupBy("key").agg(F.min("size").alias("least"))
     members = settled(members.join(least, "key").filter(may(F.col("size"), F.col("least"), F.col("shared"))).drop("least"), "able")
     while not members.isEmpty():
         labelled = members.join(labels, "node", "left").withColumn("label", label)
-        drawn = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "size", "shared"))  # buckets of one class get many centers
+        drawn = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "size", "shared", "sketch"))  # buckets of one class get many centers
         by_class = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), drawn.alias("drawn"))
         n = F.col("n").cast("double")
         mixed_ = (
@@ -256,24 +286,27 @@ def _linked(df: DataFrame, nodes: DataFrame, id: str, text: str, similar: float)
         )
         in_mixed = settled(labelled.join(mixed_, "key"), "members")
         few = in_mixed.filter("NOT large")
-        x, y = few.alias("x"), few.alias("y")
-        differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node"))
-        close = x.join(y, differ & may(F.col("x.size"), F.col("y.size"), F.least("x.shared", "y.shared")))
-        star = in_mixed.filter("large AND label != own").filter(may(F.col("size"), F.col("center.size"), F.least("shared", "center.shared")))
+        x, y = few.filter("label != own").alias("x"), few.alias("y")  # one of a pair at least is outside the largest class
+        differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+        once = (F.col("y.label") == F.col("y.own")) | (F.col("x.node") < F.col("y.node"))
+        able = may(F.col("x.size"), F.col("y.size"), F.least("x.shared", "y.shared"))
+        close = x.join(y, differ & once & able & (_unlike("x.sketch", "y.sketch") <= far))
+        able = may(F.col("size"), F.col("center.size"), F.least("shared", "center.shared"))
+        star = in_mixed.filter("large AND label != own").filter(able & (_unlike("sketch", "center.sketch") <= far))
         ends = (F.least("center.node", "node").alias("center"), F.greatest("center.node", "node").alias("node"))
-        pairs = close.select(F.col("x.node").alias("center"), F.col("y.node").alias("node")).union(star.select(*ends))
+        pairs = close.select(F.least("x.node", "y.node").alias("center"), F.greatest("x.node", "y.node").alias("node")).union(star.select(*ends))
         fresh = settled(_compared(pairs.distinct().join(seen, ["center", "node"], "left_anti"), sets), "compared")
         seen = seen.unionByName(fresh)
         fresh = fresh.filter(F.col("sim") >= similar).select("center", "node")
         if not fresh.isEmpty():
             found = found.unionByName(fresh)
             labels = classes(found)
-        rest = in_mixed.filter("large AND node != center.node").select("node", "size", "shared", "key", "last")
+        rest = in_mixed.filter("large AND node != center.node").select("node", "size", "shared", "sketch", "key", "last")
         if rest.isEmpty():
             break
         step = F.explode(F.sequence(F.lit(1), F.lit(NEXT))).alias("step")
         wide = rest.join(nodes.select("node", "bands"), "node").select("*", step).withColumn("last", (F.col("last") + F.col("step")) % BANDS)
-        keyed = wide.select("node", "size", "shared", "last", F.xxhash64("key", "last", F.get("bands", F.col("last"))).alias("key"))
+        keyed = wide.select("node", "size", "shared", "sketch", "last", F.xxhash64("key", "last", F.get("bands", F.col("last"))).alias("key"))
         shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         members = settled(keyed.join(shared, "key", "left_semi"), "buckets")
     return found, labels
@@ -285,7 +318,8 @@ def links(df: DataFrame, nodes: DataFrame, id: str = "doc_id", text: str = "text
     Sets that share a band are a bucket. In the first round its smallest member is the center,
     and each other one is compared with it alone: no pairs within a bucket. From then on only
     pairs of members in different classes matter, and a bucket in one class is done. Members
-    go that have too few shingles in common with all other sets for any link (``_reach``). A mixed
+    go that have too few shingles in common with all other sets for any link (``_reach``), and pairs
+    whose sketches differ in more coordinates than a pair at the similarity would once in a million. A mixed
     bucket with few such pairs for its size has them compared. A larger one gets a
     center from its largest class, which members of other classes are compared with; then the center goes and the rest is split by
     further bands, which a pair at the similarity shares more often than not while texts that
@@ -335,8 +369,8 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", similar: f
     signed = settled(signatures(df, id, text), "signatures")
     one = F.min(F.struct("doc_id", "tkey"))
     nodes = settled(
-        signed.filter("node IS NOT NULL").groupBy("node").agg(one.alias("one"), F.first("bands").alias("bands")).select(
-            "node", "one.doc_id", "one.tkey", "bands"
+        signed.filter("node IS NOT NULL").groupBy("node").agg(one.alias("one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select(
+            "node", "one.doc_id", "one.tkey", "bands", "sketch"
         ),
         "nodes",
     )
@@ -347,7 +381,7 @@ def near_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", similar: f
     whole = named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
     named = settled(named.select("node", "label").join(whole, "label").drop("label"), "classes")
     alone = F.col("node").isNull()
-    return signed.drop("bands").join(named, "node", "left").select(
+    return signed.drop("bands", "sketch").join(named, "node", "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),

@@ -235,6 +235,17 @@ def test_near_copies(docs, odd):
     assert sorted(r["doc_id"] for r in near.survivors(odd).collect()) == [1, 2, 3, 4, 6, 8, 10, 11]
 
 
+def test_sketches_tell_how_many_coordinates_differ(spark):
+    draw = np.random.default_rng(5).integers(0, 2**63, (2, near.BANDS * near.ROWS)).astype("u8")
+    other = draw.copy()
+    other[0, :20] ^= np.uint64(1)  # differs in a bit that the sketch holds
+    other[1, 50:53] ^= np.uint64(2**40)  # differs in one that it does not
+    rows = [(a.view("i8").tolist(), b.view("i8").tolist()) for a, b in zip(near.sketches(draw), near.sketches(other), strict=True)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>").select(near._unlike("a", "b").alias("n"))
+    assert [r["n"] for r in df.collect()] == [20, 0]
+    assert near.most_unlike(1.0) == 0 < near.most_unlike(0.9) < near.most_unlike(0.8) < near.BANDS * near.ROWS
+
+
 def test_exact_copies(odd):
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_dedup(odd, keep="largest").collect()}
     assert {(1, 2, 2, False), (2, 2, 2, True), (None, 4, 2, False), (6, 7, 2, False), (8, 8, 2, True)} <= got
