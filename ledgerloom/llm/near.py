@@ -267,6 +267,7 @@ def _linked(df: DataFrame, nodes: DataFrame, id: str, text: str, similar: float)
     members = settled(members.join(reach.join(nodes.select("node", "sketch"), "node"), "node"), "reach")
     least = members.groupBy("key").agg(F.min("size").alias("least"))
     members = settled(members.join(least, "key").filter(may(F.col("size"), F.col("least"), F.col("shared"))).drop("least"), "able")
+    sets = settled(sets.join(members.select("node").distinct(), "node", "left_semi"), "sets")  # later rounds move these alone
     while not members.isEmpty():
         labelled = members.join(labels, "node", "left").withColumn("label", label)
         drawn = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "size", "shared", "sketch"))  # buckets of one class get many centers
@@ -285,12 +286,13 @@ def _linked(df: DataFrame, nodes: DataFrame, id: str, text: str, similar: float)
             )
         )
         in_mixed = settled(labelled.join(mixed_, "key"), "members")
-        few = in_mixed.filter("NOT large")
+        few = in_mixed.filter("NOT large").withColumn("keys", F.collect_set("key").over(Window.partitionBy("node")))
         x, y = few.filter("label != own").alias("x"), few.alias("y")  # one of a pair at least is outside the largest class
         differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
         once = (F.col("y.label") == F.col("y.own")) | (F.col("x.node") < F.col("y.node"))
         able = may(F.col("x.size"), F.col("y.size"), F.least("x.shared", "y.shared"))
-        close = x.join(y, differ & once & able & (_unlike("x.sketch", "y.sketch") <= far))
+        first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair is made in one of its buckets alone
+        close = x.join(y, differ & once & able & (_unlike("x.sketch", "y.sketch") <= far) & first)
         able = may(F.col("size"), F.col("center.size"), F.least("shared", "center.shared"))
         star = in_mixed.filter("large AND label != own").filter(able & (_unlike("sketch", "center.sketch") <= far))
         ends = (F.least("center.node", "node").alias("center"), F.greatest("center.node", "node").alias("node"))
@@ -301,14 +303,14 @@ def _linked(df: DataFrame, nodes: DataFrame, id: str, text: str, similar: float)
         if not fresh.isEmpty():
             found = found.unionByName(fresh)
             labels = classes(found)
-        rest = in_mixed.filter("large AND node != center.node").select("node", "size", "shared", "sketch", "key", "last")
+        rest = in_mixed.filter("large AND node != center.node").select("node", "size", "shared", "sketch", "label", "key", "last")
         if rest.isEmpty():
             break
         step = F.explode(F.sequence(F.lit(1), F.lit(NEXT))).alias("step")
         wide = rest.join(nodes.select("node", "bands"), "node").select("*", step).withColumn("last", (F.col("last") + F.col("step")) % BANDS)
-        keyed = wide.select("node", "size", "shared", "sketch", "last", F.xxhash64("key", "last", F.get("bands", F.col("last"))).alias("key"))
-        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        members = settled(keyed.join(shared, "key", "left_semi"), "buckets")
+        keyed = wide.select("node", "size", "shared", "sketch", "label", "last", F.xxhash64("key", "last", F.get("bands", F.col("last"))).alias("key"))
+        several = keyed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
+        members = settled(keyed.drop("label").join(several, "key", "left_semi"), "buckets")
     return found, labels
 
 
