@@ -18,10 +18,11 @@ from ledgerloom.llm.hashing import SPREAD, Powers, mixed, text_bytes, words
 WORDS = 5  # words of a shingle
 SIMILAR = 0.8  # Jaccard similarity from which two texts are near copies
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares a band but for 3 in a million, and most share several
-NEXT = 4  # further bands that a large mixed bucket is split by
 PLANES, MISSED = 4, 1e-6  # bits of each coordinate in a sketch; chance that it hides a pair at the similarity
 MIXED = 16  # pairs of different classes per member up to which a bucket's are compared at once
 LEVELS = [0.0] + [4.0**k for k in range(-3, 12)]  # borders of the ranks that darts are thrown for
+BINS = 2**20  # counters of how many sets have a shingle; some share one, which costs time and no pair
+HEAVY = 500  # rarest shingles of one hash that are joined together, about
 CHUNK = 4 * 2**20
 
 
@@ -239,6 +240,71 @@ def _reach(sets: DataFrame) -> DataFrame:
     return sized.join(own, ["high", "low"], "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
+def _rare_pairs(sets: DataFrame, crowd: DataFrame, similar: float) -> DataFrame:
+    """(center, node) of all pairs of different labels in ``crowd`` (node, label, sketch) that may have the similarity.
+
+    Each set's shingles are put in one order, the rarest first. A pair with the similarity has
+    so many in common that the larger set has one of them among its first (1 - similar), and the
+    smaller one among even fewer: only these are joined, and no pair is left to chance but by its
+    sketch. A passage that most sets hold comes last and is not among them. The order needs no
+    exact counts, so they are kept in BINS counters, all that the driver sees.
+    """
+    held = sets.join(crowd.select("node"), "node")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BINS, dtype=np.int64)
+        for batch in batches:
+            n += np.bincount(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), "<u4") % BINS, minlength=BINS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
+
+    counted = held.mapInArrow(tally, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(BINS, dtype=np.int64)
+    often[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, firsts, places = [], [], []
+            for row, data in enumerate(batch.column("shingles").to_pylist()):
+                shingle = np.frombuffer(data, "<u4")
+                n = often[shingle % BINS]
+                first = np.lexsort((shingle, n))[: shingle.size - math.ceil(similar * shingle.size - 1e-6) + 1]
+                at = np.flatnonzero(n[first] > 1)  # no other set has the rest
+                rows.append(np.full(at.size, row))
+                firsts.append(shingle[first[at]].view("<i4"))
+                places.append(at)
+            if rows:
+                rows = pa.array(np.concatenate(rows), pa.int64())
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "shingle": pa.array(np.concatenate(firsts), pa.int32()),
+                        "at": pa.array(np.concatenate(places), pa.int32()),
+                        **{name: batch.column(name).take(rows) for name in ("node", "label", "sketch", "size")},
+                    }
+                )
+
+    sized = sets.join(crowd, "node").withColumn("size", (F.length("shingles") / 4).cast("int"))
+    kinds = "shingle int, at int, node binary, label binary, sketch array<long>, size int"
+    posts = settled(sized.mapInArrow(rarest, kinds), "rarest")
+    need = similar / (1 + similar)
+    small = posts.filter(F.col("at") <= F.col("size") - F.ceil(2 * need * F.col("size") - 1e-6))
+    salts = small.groupBy("shingle").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("salts"))
+    small = small.join(salts.filter("salts > 1"), "shingle", "left").withColumn(
+        "salt", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int")
+    )
+    x = posts.join(salts, "shingle").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
+    y = small.alias("y")
+    common = need * (F.col("x.size") + F.col("y.size")) - 1e-6
+    fits = (
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label"))
+        & (F.struct("y.size", "y.node") < F.struct("x.size", "x.node"))
+        & (F.col("x.size") - F.col("x.at") >= common) & (F.col("y.size") - F.col("y.at") >= common)
+        & (_unlike("x.sketch", "y.sketch") <= most_unlike(similar))
+    )
+    ends = (F.least("x.node", "y.node").alias("center"), F.greatest("x.node", "y.node").alias("node"))
+    return x.join(y, fits).select(*ends).distinct()
+
+
 def _linked(df: DataFrame, nodes: DataFrame, id: str, text: str, similar: float) -> tuple[DataFrame, DataFrame]:
     """``links`` and the ``classes`` that they connect."""
     keys = F.posexplode("bands").alias("last", "band")
@@ -267,50 +333,54 @@ def _linked(df: DataFrame, nodes: DataFrame, id: str, text: str, similar: float)
     members = settled(members.join(reach.join(nodes.select("node", "sketch"), "node"), "node"), "reach")
     least = members.groupBy("key").agg(F.min("size").alias("least"))
     members = settled(members.join(least, "key").filter(may(F.col("size"), F.col("least"), F.col("shared"))).drop("least"), "able")
-    sets = settled(sets.join(members.select("node").distinct(), "node", "left_semi"), "sets")  # later rounds move these alone
-    while not members.isEmpty():
-        labelled = members.join(labels, "node", "left").withColumn("label", label)
-        drawn = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "size", "shared", "sketch"))  # buckets of one class get many centers
-        by_class = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), drawn.alias("drawn"))
-        n = F.col("n").cast("double")
-        mixed_ = (
-            by_class.groupBy("key")
-            .agg(
-                F.sum("n").alias("all"), F.count("*").alias("labels"), F.sum(n * n).alias("squares"),
-                F.max(F.struct("n", "label", "drawn")).alias("most"),
-            )
-            .filter("labels > 1")
-            .select(
-                "key", F.col("most.label").alias("own"), F.col("most.drawn").alias("center"),
-                ((F.col("all") * F.col("all") - F.col("squares")) / 2 > MIXED * F.col("all")).alias("large"),
-            )
-        )
-        in_mixed = settled(labelled.join(mixed_, "key"), "members")
-        few = in_mixed.filter("NOT large").withColumn("keys", F.collect_set("key").over(Window.partitionBy("node")))
-        x, y = few.filter("label != own").alias("x"), few.alias("y")  # one of a pair at least is outside the largest class
-        differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-        once = (F.col("y.label") == F.col("y.own")) | (F.col("x.node") < F.col("y.node"))
-        able = may(F.col("x.size"), F.col("y.size"), F.least("x.shared", "y.shared"))
-        first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair is made in one of its buckets alone
-        close = x.join(y, differ & once & able & (_unlike("x.sketch", "y.sketch") <= far) & first)
-        able = may(F.col("size"), F.col("center.size"), F.least("shared", "center.shared"))
-        star = in_mixed.filter("large AND label != own").filter(able & (_unlike("sketch", "center.sketch") <= far))
-        ends = (F.least("center.node", "node").alias("center"), F.greatest("center.node", "node").alias("node"))
-        pairs = close.select(F.least("x.node", "y.node").alias("center"), F.greatest("x.node", "y.node").alias("node")).union(star.select(*ends))
-        fresh = settled(_compared(pairs.distinct().join(seen, ["center", "node"], "left_anti"), sets), "compared")
-        seen = seen.unionByName(fresh)
-        fresh = fresh.filter(F.col("sim") >= similar).select("center", "node")
+    sets = settled(sets.join(members.select("node").distinct(), "node", "left_semi"), "sets")  # later steps move these alone
+    if members.isEmpty():
+        return found, labels
+    labelled = members.join(labels, "node", "left").withColumn("label", label)
+    drawn = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "size", "shared", "sketch"))  # buckets of one class get many centers
+    by_class = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), drawn.alias("drawn"))
+    n = F.col("n").cast("double")
+    mixed_ = (
+        by_class.groupBy("key")
+        .agg(
+            F.sum("n").alias("all"), F.count("*").alias("labels"), F.sum(n * n).alias("squares"),
+            F.max(F.struct("n", "label", "drawn")).alias("most"),
+        )
+        .filter("labels > 1")
+        .select(
+            "key", F.col("most.label").alias("own"), F.col("most.drawn").alias("center"),
+            ((F.col("all") * F.col("all") - F.col("squares")) / 2 > MIXED * F.col("all")).alias("large"),
+        )
+    )
+    in_mixed = settled(labelled.join(mixed_, "key"), "members")
+    few = in_mixed.filter("NOT large").withColumn("keys", F.collect_set("key").over(Window.partitionBy("node")))
+    x, y = few.filter("label != own").alias("x"), few.alias("y")  # one of a pair at least is outside the largest class
+    differ = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+    once = (F.col("y.label") == F.col("y.own")) | (F.col("x.node") < F.col("y.node"))
+    able = may(F.col("x.size"), F.col("y.size"), F.least("x.shared", "y.shared"))
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair is made in one of its buckets alone
+    close = x.join(y, differ & once & able & (_unlike("x.sketch", "y.sketch") <= far) & first)
+    able = may(F.col("size"), F.col("center.size"), F.least("shared", "center.shared"))
+    star = in_mixed.filter("large AND label != own").filter(able & (_unlike("sketch", "center.sketch") <= far))
+    ends = (F.least("center.node", "node").alias("center"), F.greatest("center.node", "node").alias("node"))
+    pairs = close.select(F.least("x.node", "y.node").alias("center"), F.greatest("x.node", "y.node").alias("node")).union(star.select(*ends))
+    fresh = settled(_compared(pairs.distinct().join(seen, ["center", "node"], "left_anti"), sets), "compared")
+    seen = seen.unionByName(fresh)
+    fresh = fresh.filter(F.col("sim") >= similar).select("center", "node")
+    if not fresh.isEmpty():
+        found = found.unionByName(fresh)
+        labels = classes(found)
+    crowd = in_mixed.filter("large").select("key", "node")  # pairs that the center left are made by their rarest shingles
+    crowd = crowd.join(labels, "node", "left").withColumn("label", label)
+    several = crowd.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
+    crowd = crowd.join(several, "key", "left_semi").select("node", "label").distinct().join(nodes.select("node", "sketch"), "node")
+    crowd = settled(crowd, "crowd")
+    if not crowd.isEmpty():
+        pairs = _rare_pairs(sets, crowd, similar).join(seen, ["center", "node"], "left_anti")
+        fresh = settled(_compared(pairs, sets), "compared").filter(F.col("sim") >= similar).select("center", "node")
         if not fresh.isEmpty():
             found = found.unionByName(fresh)
             labels = classes(found)
-        rest = in_mixed.filter("large AND node != center.node").select("node", "size", "shared", "sketch", "label", "key", "last")
-        if rest.isEmpty():
-            break
-        step = F.explode(F.sequence(F.lit(1), F.lit(NEXT))).alias("step")
-        wide = rest.join(nodes.select("node", "bands"), "node").select("*", step).withColumn("last", (F.col("last") + F.col("step")) % BANDS)
-        keyed = wide.select("node", "size", "shared", "sketch", "label", "last", F.xxhash64("key", "last", F.get("bands", F.col("last"))).alias("key"))
-        several = keyed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
-        members = settled(keyed.drop("label").join(several, "key", "left_semi"), "buckets")
     return found, labels
 
 
@@ -323,10 +393,10 @@ def links(df: DataFrame, nodes: DataFrame, id: str = "doc_id", text: str = "text
     go that have too few shingles in common with all other sets for any link (``_reach``), and pairs
     whose sketches differ in more coordinates than a pair at the similarity would once in a million. A mixed
     bucket with few such pairs for its size has them compared. A larger one gets a
-    center from its largest class, which members of other classes are compared with; then the center goes and the rest is split by
-    further bands, which a pair at the similarity shares more often than not while texts that
-    have only a passage in common part. This goes on until no mixed bucket is left: members are
-    never capped. Pairs compared before are not compared again.
+    center from its largest class, which members of other classes are compared with; the members of
+    those that still have several classes are then joined by their rarest shingles
+    (``_rare_pairs``), whatever bands they share. Members are never capped. Pairs compared before
+    are not compared again.
     """
     return _linked(df, nodes, id, text, similar)[0]
 

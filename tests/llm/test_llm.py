@@ -235,6 +235,19 @@ def test_near_copies(docs, odd):
     assert sorted(r["doc_id"] for r in near.survivors(odd).collect()) == [1, 2, 3, 4, 6, 8, 10, 11]
 
 
+def test_near_copies_within_a_family_of_one_passage(spark):
+    """Texts of one passage, all but alike (0.78), in pairs of near copies (0.803): buckets are large, and every pair is to be found."""
+    pairs, passage = 1500, " ".join(f"p{i}" for i in range(268))
+    rows = []
+    for i in range(2 * pairs):
+        own = " ".join(f"o{i}x{k}" for k in range(33))
+        rows.append((i, f"{passage} {' '.join(f's{i // 2}x{k}' for k in range(5))} {own}"))
+    a, b, c = (shingles(rows[i][1]) for i in (0, 1, 2))
+    assert len(a & c) / len(a | c) < 0.8 <= len(a & b) / len(a | b)
+    got = near.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: i // 2 * 2 for i in range(2 * pairs)}
+
+
 def test_sketches_tell_how_many_coordinates_differ(spark):
     draw = np.random.default_rng(5).integers(0, 2**63, (2, near.BANDS * near.ROWS)).astype("u8")
     other = draw.copy()
