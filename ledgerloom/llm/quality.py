@@ -19,10 +19,11 @@ class Rules:
 
     min_words: int = 50
     max_repeated: int = 50  # percent of words in repeated three-word windows
-    common: int = 12  # common words compared per language
-    common_length: int = 4  # code points of a common word at most
+    common: int = 100  # common words compared per language
     class_distance: float = 0.30
-    word_distance: float = 0.40
+    word_spread: float = 2.5  # a text's words may lie so many times (median - lowest tenth) beyond the median
+    word_least: float = 0.70  # but need not lie nearer than this, in distances of a text without common words
+    word_most: float = 0.95  # nor may they lie further than this
     class_chars: int = 200  # shorter texts say too little about character classes
     word_words: int = 100  # and with fewer words, about common ones
     reference_words: int = 10_000  # a language needs as many to be a reference
@@ -104,44 +105,28 @@ def _repeated_lines(text: Column) -> Column:
 
 
 def references(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = RULES) -> DataFrame:
-    """One row per language with enough words: lang, ref_classes, common, ref_words.
+    """One row per language with enough words: lang, ref_classes, common, ref_words, ref_none.
 
     Counted over all rows: the shares of character classes, and the language's most frequent
-    short words with their shares, all other words counting as one. Null is a language, too.
+    words with their shares, all other words counting as one. Words are named by a hash and lie in
+    its order. ``ref_none`` is the distance of a text without any of them. Null is a language, too.
     """
     rows = df.select(df[lang].alias("lang"), text_of(df, text).alias("text"))
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
     classes = _classed(rows).groupBy("lang").agg(*sums)
     classes = classes.select("lang", _shares(F.array(*[f"c{i}" for i in range(len(CLASSES))])).alias("ref_classes"))
-    words = rows.select("lang", words_of(F.col("text")).alias("words"))
-    counted = words.select(
-        "lang",
-        F.explode(
-            F.concat(
-                F.transform(
-                    F.filter("words", lambda w: F.length(w) <= rules.common_length),
-                    lambda w: F.struct(w.alias("word"), F.lit(1).alias("n")),
-                ),
-                F.array(F.struct(F.lit("").alias("word"), F.size("words").alias("n"))),  # no word is empty: the total
-            )
-        ).alias("e"),
-    )
-    counts = counted.groupBy("lang", F.col("e.word").alias("word")).agg(F.sum("e.n").alias("n"))
+    counted = rows.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    counts = settled(counted.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    best = counts.withColumn("rank", rank).filter((F.col("rank") <= rules.common + 1) | (F.col("word") == ""))
-    lists = best.groupBy("lang").agg(
-        F.max(F.when(F.col("word") == "", F.col("n"))).alias("total"),
-        F.slice(
-            F.array_sort(F.collect_list(F.when(F.col("word") != "", F.struct((-F.col("n")).alias("n"), "word")))),
-            1,
-            rules.common,
-        ).alias("top"),
-    )
-    rest = F.col("total") + F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    shares = F.concat(F.transform("top", lambda x: -x["n"] / F.col("total")), F.array(rest / F.col("total")))
-    lists = lists.filter(F.col("total") >= rules.reference_words).select(
-        F.col("lang").alias("_lang"), F.transform("top", lambda x: x["word"]).alias("common"), shares.alias("ref_words")
-    )
+    totals = counts.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("total"))
+    best = counts.withColumn("rank", rank).filter(F.col("rank") <= rules.common).withColumn("key", _word_key(F.col("word")))
+    lists = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("top"))
+    rest = F.col("total") - F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    shares = F.concat(F.transform("top", lambda x: x["n"] / F.col("total")), F.array(rest / F.col("total")))
+    lists = lists.join(totals, F.col("lang").eqNullSafe(F.col("_lang"))).filter(F.col("total") >= rules.reference_words)
+    lists = lists.select("_lang", F.transform("top", lambda x: x["key"]).alias("common"), shares.alias("ref_words"))
+    empty = F.transform("ref_words", lambda x, i: F.when(i == F.size("ref_words") - 1, 1.0).otherwise(0.0))
+    lists = lists.withColumn("ref_none", _js(empty, F.col("ref_words")))
     return classes.join(lists, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
 
 
@@ -152,17 +137,20 @@ def judge(
     n_repeat_words, base_failed, kept, class_distance, word_distance.
 
     ``kept`` is false where the base rules fail, or where the histogram of character classes or of
-    common words lies further from that of the row's language than ``rules`` allow. A distance is
+    common words lies too far from that of the row's language. ``rules`` bound the first. How far
+    the words of a text lie hangs on its length, so they are bound by the distances, as parts of
+    ``ref_none``, of all texts that pass the base rules and have as many words but for a factor of
+    two: by their median and lowest tenth, which a lesser share of junk hardly moves. A distance is
     null, and says nothing, where the text is too short for it or the language has too few words to
     be a reference. A null text has no words. Repeated rows, rows without id and other columns
     change nothing; an empty table gives no rows. References come from all rows; a document is
-    looked at within its row, so no text is shuffled. The references, a row per language, are
-    written first, and Spark broadcasts them if their size allows it.
+    looked at within its row, so no text is shuffled. The references, a row per language, and the
+    counts and distances, without text, are written first.
     """
     known = settled(references(df, text, lang, rules), "references").withColumnRenamed("lang", "_lang")
     rows = df.select(df[id].alias("doc_id"), df[lang].alias("lang"), text_of(df, text).alias("text"))
     rows = _classed(rows).withColumn("words", words_of(F.col("text")))
-    base = rows.join(known, F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
+    base = rows.join(F.broadcast(known), F.col("lang").eqNullSafe(F.col("_lang")), "left").select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         (F.length("text") - F.col("classes")[2]).cast("long").alias("word_chars"),
@@ -173,15 +161,23 @@ def judge(
             F.length("text") >= rules.class_chars, _js(_shares(F.col("classes")), F.col("ref_classes"))
         ).alias("class_distance"),
         F.when(
-            F.size("words") >= rules.word_words, _js(_word_shares(F.col("words"), F.col("common"), rules), F.col("ref_words"))
+            F.size("words") >= rules.word_words, _js(_word_shares(F.col("words"), F.col("common")), F.col("ref_words"))
         ).alias("word_distance"),
+        "ref_none",
     )
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeated * F.col("n_words")
     )
-    far = (F.col("class_distance") > rules.class_distance) | (F.col("word_distance") > rules.word_distance)
+    base = base.withColumn("base_failed", failed).withColumn("part", F.round(F.col("word_distance") / F.col("ref_none"), 3))
+    base = settled(base.withColumn("_length", F.floor(F.log2("n_words")).cast("int")), "judged")
+    bounds = base.filter("NOT base_failed AND part IS NOT NULL").groupBy(F.col("_length").alias("_of"))
+    bounds = bounds.agg(F.percentile("part", F.array(F.lit(0.1), F.lit(0.5))).alias("q"))
+    top = F.col("q")[1] + rules.word_spread * (F.col("q")[1] - F.col("q")[0])
+    bounds = bounds.select("_of", F.least(F.lit(rules.word_most), F.greatest(F.lit(rules.word_least), top)).alias("bound"))
+    base = base.join(F.broadcast(bounds), F.col("_length") == F.col("_of"), "left")
+    far = (F.col("class_distance") > rules.class_distance) | (F.col("part") > F.col("bound"))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return base.withColumn("base_failed", failed).select(
+    return base.select(
         *names,
         "base_failed",
         (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"),
@@ -190,13 +186,22 @@ def judge(
     )
 
 
-def _word_shares(words: Column, common: Column, rules: Rules) -> Column:
-    """Shares of the common words and of all other words; long words are put aside before any search."""
-    short = F.octet_length  # bytes are at hand, and a common word has at most four for each code point
-    hits = F.filter(words, lambda w: (short(w) <= 4 * rules.common_length) & F.array_contains(common, w))
+def _word_key(word: Column) -> Column:
+    """A hash of a word whose last two bits are free."""
+    return F.xxhash64(word).bitwiseAND(F.lit(-4).cast("long"))
+
+
+def _word_shares(words: Column, common: Column) -> Column:
+    """Shares of the common words, given as keys in order, and of all other words.
+
+    One sort counts them all: each common key is put in as a mark before its words and one behind them.
+    """
+    marks = F.flatten(F.transform(common, lambda c: F.array(c, c + 2)))
+    ordered = F.sort_array(F.concat(marks, F.transform(words, lambda w: _word_key(w) + 1)))
 
-    def counted(found: Column) -> Column:
-        each = F.transform(common, lambda c: (F.size(found) - F.size(F.array_remove(found, c))).cast("long"))
-        return F.concat(each, F.array((F.size(words) - F.size(found)).cast("long")))
+    def between(places: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(common) - 1), lambda j: (F.get(places, 2 * j + 1) - F.get(places, 2 * j) - 1).cast("long"))
+        return let(each, lambda n: F.concat(n, F.array(F.size(words) - _sum(n))))
 
-    return _shares(let(hits, counted))
+    placed = F.transform(ordered, lambda e, i: F.when(e.bitwiseAND(F.lit(1).cast("long")) == 0, i))
+    return _shares(let(F.filter(placed, lambda i: i.isNotNull()), between))

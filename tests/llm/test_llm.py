@@ -293,6 +293,26 @@ def test_quality_keeps_prose_and_drops_junk(docs):
     assert sum(prose) / len(prose) > 0.98
 
 
+def test_quality_drops_wrong_languages_and_word_lists(spark):
+    """Prose under another language's label, and its words without the common ones, do not pass."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in quality.judge(docs).filter("kept AND n_words >= 200").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()]
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    often = Counter(w for r in docs.collect() for w in WORD.findall(r["text"]))
+    usual = {w for w, _ in often.most_common(600)}
+    other = {"en": "de", "de": "en", "fr": "en", "es": "de"}
+    wrong = [(10_000_000 + i, r["text"], other[r["lang"]]) for i, r in enumerate(rows[::25])]
+    listed = [(20_000_000 + i, " ".join(w for w in WORD.findall(r["text"]) if w not in usual), r["lang"]) for i, r in enumerate(rows[::25])]
+    listed = [r for r in listed if len(r[1].split()) >= 100]
+    assert len(wrong) >= 5 and len(listed) >= 5
+    more = spark.createDataFrame(wrong + listed, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(docs.select("doc_id", "text", "lang").union(more)).collect()}
+    for made in (wrong, listed):
+        passed = [got[i] for i, *_ in made if not got[i]["base_failed"]]
+        assert len(passed) >= 5 and not any(r["kept"] for r in passed)
+    assert sum(got[r["doc_id"]]["kept"] for r in rows) >= 0.98 * len(rows)
+
+
 def test_sharding(spark, docs, odd, tmp_path):
     path = str(tmp_path / "map")
     got = shards.shard(docs, 24, path=path).toPandas()
