@@ -20,6 +20,7 @@ from ledgerloom.llm.common import settled, text_of
 CAPACITY = 1024
 END = 2  # the id after each document
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the vocabulary of byte_bpe_50k.json as ranks
+ADDED, ADDED_ID = "<|endoftext|>", 50256  # the added token of byte_bpe_50k.json, which no rank has
 CACHE = 400_000  # word ids kept per task
 NODES = 4_000  # branches that the search looks at, at most
 SETS = 300  # sets looked at for a node's fillings, at most
@@ -56,6 +57,12 @@ class Ids(dict):
         first, *rest = text.split(" ")
         return self.whole(first) + b"".join([self[word] for word in rest])
 
+    def document(self, text: str) -> bytes:
+        """Ids of a text as tokenizers makes them: the added token stands for its literal and parts the text."""
+        if ADDED not in text:
+            return self.of(text)
+        return array("I", [ADDED_ID]).tobytes().join([self.of(part) for part in text.split(ADDED)])
+
 
 def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every row's token ids, cut to ``capacity``.
@@ -69,7 +76,7 @@ def pieces(df: DataFrame, id: str = "doc_id", text: str = "text", capacity: int
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for at, value in enumerate(batch.column("text").to_pylist()):
-                data = ids.of(value) + tail
+                data = ids.document(value) + tail
                 n = len(data) // 4
                 stops = range(n % capacity or capacity, n + 1, capacity)
                 start = 0

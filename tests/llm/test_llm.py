@@ -126,6 +126,20 @@ def test_tokens_of_blank_runs():
         assert ids.of(text) == np.array(tokens.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_packing_of_the_added_token(spark):
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} x", mark, f"{mark}{mark}", f"a{mark}{mark}  b ", f"a {mark}\n x <|endoftext {mark[:-1]}", f"{'w ' * 1500}{mark} v", "plain"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    want = Counter()
+    for i, text in enumerate(texts):
+        ids = np.array([*tokens.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        stops = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for a, b in zip(stops, stops[1:]):
+            want[i, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter(zip(got.doc_id, got.start, got.length, got.ids_crc32)) == want
+
+
 def test_suffix_array():
     r = random.Random(2)
     for _ in range(150):
