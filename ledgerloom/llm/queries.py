@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm import audit as filters
 from ledgerloom.llm.common import table
 from ledgerloom.llm.exact import exact_dedup
 from ledgerloom.llm.langid import identify
@@ -100,3 +101,9 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of all documents."""
     return find_personal_data(table(spark, folder, "documents"))
+
+
+@register.add("op13_filter_audit", filters.SQL)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from all documents, in all orders."""
+    return filters.audit(spark, folder)

@@ -72,7 +72,7 @@ def brute_classes(texts):
 @pytest.mark.parametrize("name", sorted(register.sql))
 def test_same_rows_as_sql(spark, folder, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "labels"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     df = register.queries[name](spark, folder)
     answer = duck.execute(register.sql[name])
