@@ -15,6 +15,8 @@ from ledgerloom.llm.pii import find_personal_data
 from ledgerloom.llm.quality import judge
 from ledgerloom.llm.shards import shard
 from ledgerloom.llm.suffix import remove_repeats
+from ledgerloom.llm.variants import SQL as VARIANTS_SQL
+from ledgerloom.llm.variants import group
 from ledgerloom.llm.warc import warc_round_trip
 from ledgerloom.plans.registry import Register
 
@@ -103,6 +105,12 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(table(spark, folder, "documents"))
 
 
+@register.add("op12_spelling_variants", VARIANTS_SQL)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """All words of all documents under their commonest spelling."""
+    return group(table(spark, folder, "documents"))
+
+
 @register.add("op13_filter_audit", filters.SQL)
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters remove from all documents, in all orders."""
