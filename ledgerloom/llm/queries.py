@@ -8,6 +8,7 @@ from ledgerloom.llm import audit as filters
 from ledgerloom.llm.common import table
 from ledgerloom.llm.exact import exact_dedup
 from ledgerloom.llm.langid import identify
+from ledgerloom.llm.maintext import extract
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.near import near_dedup
 from ledgerloom.llm.packing import pack
@@ -105,6 +106,12 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(table(spark, folder, "documents"))
 
 
+@register.add("op11_main_text")
+def op11_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract(table(spark, folder, "pages"))
+
+
 @register.add("op12_spelling_variants", VARIANTS_SQL)
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """All words of all documents under their commonest spelling."""
