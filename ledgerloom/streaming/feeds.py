@@ -5,7 +5,9 @@ Streams need TIMESTAMP event times; a ``timestamp_ntz`` column has to be cast fi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,84 @@ def stream(spark: SparkSession, seed: int, rps: int, customers: int, parts: int
     return business_events(source.load(), "value", seed, customers, F.col("timestamp"))
 
 
+@dataclass(frozen=True)
+class Delays:
+    """How long events take to arrive: a ``share`` of them up to ``late``, the others up to ``usual``."""
+
+    share: float
+    usual: dt.timedelta
+    late: dt.timedelta
+
+    def micros(self, seed: int, table: str, *keys: ColumnLike) -> Column:
+        """Microseconds, fixed by the row's key."""
+        most = F.when(draw(seed, table, "is_late", *keys) < self.share, _micros(self.late)).otherwise(_micros(self.usual))
+        return F.floor(draw(seed, table, "delay", *keys) * most.cast("double")).cast("bigint")
+
+
+def _micros(span: dt.timedelta) -> int:
+    return span // dt.timedelta(microseconds=1)
+
+
+def endless(
+    spark: SparkSession, seed: int, customers: int, per_batch: int, start: dt.datetime, per_second: int,
+    delays: Delays | None = None, parts: int | None = None,
+) -> DataFrame:
+    """An endless stream of synthetic events whose rows follow from their offset alone.
+
+    Event ``k`` arrives ``k / per_second`` seconds after ``start`` (UTC), having happened as much earlier as
+    its delay says; a micro-batch brings ``per_batch`` of them. Nothing hangs on the clock or on
+    where the batches are cut: a restarted stream, or one with other batches, makes the same rows.
+    """
+    source = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", per_batch)
+    source = source.option("startTimestamp", 0).option("advanceMillisPerBatch", 1)  # its own times are not used
+    if parts:
+        source = source.option("numPartitions", parts)
+    first = _micros(start.replace(tzinfo=dt.timezone.utc) - dt.datetime.fromtimestamp(0, dt.timezone.utc))
+    arrived = F.lit(first) + F.floor(F.col("value") * F.lit(1_000_000 / per_second)).cast("bigint")
+    happened = arrived - delays.micros(seed, "event", "value") if delays else arrived
+    return business_events(source.load(), "value", seed, customers, F.timestamp_micros(happened))
+
+
+def advance(
+    feed: Callable[[], DataFrame], label: str, batches: int, folder: str | None = None, seen: list[Batch] | None = None
+) -> DataFrame:
+    """Lets an endless stream go on by so many micro-batches, each as a run of its own, and returns all that was written.
+
+    ``feed`` makes the stream anew for each run, as a restarted driver would. With ``folder`` a later
+    call goes on behind the last batch.
+    """
+    made = feed()
+    folder = folder or work_dir(made.sparkSession, label)
+    written = run_append(made, label, folder=folder, seen=seen)
+    for _ in range(batches - 1):
+        written = run_append(feed(), label, folder=folder, seen=seen)
+    return written
+
+
+def land(df: DataFrame, arrived: Column, slices: int, label: str, files: int = 1) -> tuple[str, int]:
+    """Writes rows as files in the order of their arrival: (folder, files to read as one batch).
+
+    The time from the first arrival to the last, in whole units of ``arrived``, is cut into ``slices``
+    of equal length; each becomes ``files`` files, written after those before it. Rows are dealt
+    to slices in one pass; then each slice is copied by itself, so that its files are younger.
+    """
+    spark = df.sparkSession
+    name = "_arrived"
+    bounds = df.agg(F.min(arrived).alias("first"), F.max(arrived).alias("last")).head()
+    first, last = bounds["first"] or 0, bounds["last"] or 0
+    width = (last - first) // slices + 1
+    since = arrived - F.lit(first)
+    dealt = df.withColumn(name, ((since - F.pmod(since, F.lit(width))) / F.lit(width)).cast("int"))
+    staged = work_dir(spark, f"{label}-staged")
+    dealt.write.partitionBy(name).parquet(staged)
+    landed = work_dir(spark, label)
+    back = spark.read.schema(dealt.schema).parquet(staged)
+    for number in range(slices):
+        own = back.filter(F.col(name) == number).drop(name)
+        own.repartition(files).write.mode("append").parquet(f"{landed}/rows.parquet")
+    return landed, files
+
+
 def replay(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
     """A given Parquet table, one file or a folder of files, as a stream of its files."""
     path = f"{folder}/{name}.parquet"
@@ -67,11 +147,24 @@ def dedup(feed: DataFrame, ids: ColumnLike | Sequence[str], ts: str, delay: str)
     return feed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_append(feed: DataFrame, label: str, fmt: str = "parquet", folder: str | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Batch:
+    """What a micro-batch of a stream with one keyed operator did."""
+
+    number: int
+    rows: int  # read
+    late: int  # left out by the watermark
+    state_rows: int  # held when it ended
+
+
+def run_append(
+    feed: DataFrame, label: str, fmt: str = "parquet", folder: str | None = None, seen: list[Batch] | None = None
+) -> DataFrame:
     """Runs a stream over all input there is, into files, and returns what was written.
 
     Files and checkpoint lie in ``folder``; a run with the same folder goes on where one before
-    it ended. Without it a fresh folder is taken, and nothing can go on.
+    it ended. Without it a fresh folder is taken, and nothing can go on. ``seen`` takes the run's
+    batches, the last hundred of them.
     """
     folder = folder or work_dir(feed.sparkSession, label)
     query = (
@@ -83,6 +176,11 @@ def run_append(feed: DataFrame, label: str, fmt: str = "parquet", folder: str |
         .start()
     )
     query.awaitTermination()
+    if seen is not None:
+        for done in query.recentProgress:
+            held = done.stateOperators
+            late, rows = (sum(getattr(s, name) for s in held) for name in ("numRowsDroppedByWatermark", "numRowsTotal"))
+            seen.append(Batch(done.batchId, done.numInputRows, late, rows))
     return feed.sparkSession.read.schema(feed.schema).format(fmt).load(f"{folder}/rows")
 
 
