@@ -13,7 +13,7 @@ from ledgerloom.plans import company as co
 from ledgerloom.plans import sqltext as q
 from ledgerloom.plans.generating import flow_sql
 from ledgerloom.plans.registry import SEED, Register, day
-from ledgerloom.plans.validate import validate
+from ledgerloom.plans.validate import DATES, KEYS, LINKS, validate, write_validated
 from ledgerloom.session import work_dir
 from ledgerloom.sources.tables import FORMATS, given, read_table, write
 from ledgerloom.streaming import feeds
@@ -248,6 +248,77 @@ def check_generated(spark: SparkSession, folder: str) -> DataFrame:
     return validate(_tables(spark, folder), only=stated)
 
 
+# fixed values: what is damaged in the generated tables before they are written and checked
+DAMAGE = {
+    "customer": "customer_id % 10 <> 3",
+    "order_line": "NOT (order_id % 40 = 7 AND line_no = 1)",
+    "journal_line": "NOT (doc_id % 60 = 8 AND line_no = 2)",
+    "shipment": "order_id % 70 <> 5",
+}
+EARLIER_DAYS, EARLIER = 40, "order_id % 30 = 11"  # invoices dated so many days back
+TWICE = "payment_id % 50 = 9"  # payments that are there twice
+TOO_MANY, MANY = "order_id % 100 = 1", 11  # lines with a quantity out of range
+
+
+def damaged(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The generated tables with broken references, sums, dates, keys and ranges."""
+    made = {name: df.filter(DAMAGE[name]) if name in DAMAGE else df for name, df in tables.items()}
+    lines, invoices, payments = made["order_line"], made["invoice"], made["payment"]
+    qty = F.when(F.expr(TOO_MANY), F.lit(MANY)).otherwise(F.col("qty")).cast(lines.schema["qty"].dataType)
+    dated = F.when(F.expr(EARLIER), F.date_sub("invoice_date", EARLIER_DAYS)).otherwise(F.col("invoice_date"))
+    copies = F.when(F.expr(TWICE), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return made | {
+        "order_line": lines.withColumn("qty", qty),
+        "invoice": invoices.withColumn("invoice_date", dated),
+        "payment": payments.withColumn("copy", F.explode(copies)).drop("copy"),
+    }
+
+
+def _damaged_sql() -> str:
+    changes = {
+        "order_line": f"SELECT * REPLACE (CASE WHEN {TOO_MANY} THEN {MANY} ELSE qty END AS qty) FROM",
+        "invoice": f"""SELECT * REPLACE (CASE WHEN {EARLIER} THEN (invoice_date::DATE - {EARLIER_DAYS})::DATE::VARCHAR
+                       ELSE invoice_date END AS invoice_date) FROM""",
+        "payment": f"SELECT * EXCLUDE (copy) FROM (SELECT *, unnest(CASE WHEN {TWICE} THEN [0, 1] ELSE [0] END) AS copy FROM",
+    }
+    parts = []
+    for name in co.TABLES:
+        filtered = f"(SELECT * FROM ({_TABLE_SQL[name]}) WHERE {DAMAGE.get(name, 'true')})"
+        changed = f"{changes.get(name, 'SELECT * FROM')} {filtered}{')' if name == 'payment' else ''}"
+        parts.append(f"t_{name} AS MATERIALIZED ({changed})")
+    rows = []
+
+    def rule(name: str, table: str, count: str) -> None:
+        rows.append(f"SELECT '{name}' AS rule, '{table}' AS table_name, ({count})::BIGINT AS violations")
+
+    unique = [*((name, key) for name, key in KEYS.items()), ("order_line", "order_id, line_no"), ("invoice", "number")]
+    for name, key in unique:
+        rule(f"{key} is unique", name, f"SELECT count(*) FROM (SELECT {key} FROM t_{name} GROUP BY {key} HAVING count(*) > 1)")
+    for child, key, parent in LINKS:
+        rule(f"{key} exists in {parent}", child, f"SELECT count(*) FROM t_{child} WHERE {key} NOT IN (SELECT {key} FROM t_{parent})")
+    rule("total is the sum of lines", "order_header", """
+        SELECT count(*) FROM (SELECT order_id, sum(a) FROM (SELECT order_id, total AS a FROM t_order_header
+                              UNION ALL SELECT order_id, -amount FROM t_order_line) GROUP BY 1 HAVING sum(a) <> 0)""")
+    rule("documents add up to zero", "journal_line",
+         "SELECT count(*) FROM (SELECT doc_id FROM t_journal_line GROUP BY 1 HAVING sum(amount) <> 0)")
+    for child, on, parent, before, after in DATES:
+        rule(f"{after} is not before {before}", child,
+             f"SELECT count(DISTINCT c.{on}) FROM t_{child} c JOIN t_{parent} p ON c.{on} = p.{on} WHERE c.{after} < p.{before}")
+    rule("qty in [1, 10]", "order_line", "SELECT count(*) FROM t_order_line WHERE qty NOT BETWEEN 1 AND 10")
+    rule("amount is positive", "order_line", "SELECT count(*) FROM t_order_line WHERE amount <= 0")
+    rule("status in (open, shipped, invoiced, paid)", "order_header",
+         "SELECT count(*) FROM t_order_header WHERE status NOT IN ('open', 'shipped', 'invoiced', 'paid')")
+    rule("order_date is not null", "order_header", "SELECT count(*) FROM t_order_header WHERE order_date IS NULL")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
+@register.add("check_written", _damaged_sql())
+def check_written(spark: SparkSession, folder: str) -> DataFrame:
+    """All twelve tables, some damaged, written and checked on the way: all rules and what breaks them."""
+    _, found = write_validated(damaged(_tables(spark, folder)), work_dir(spark, "checked"), {"journal_line": ["line_no"]})
+    return found
+
+
 @register.add(
     "trial_balance",
     f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 FORMATS = ("parquet", "orc", "csv", "json")
@@ -48,12 +48,14 @@ def write(
     by: Mapping[str, Sequence[str]] | None = None,
     mode: str = "errorifexists",
     rows_per_file: int = 2_000_000,
+    watch: Mapping[str, tuple[Observation, Sequence[Column]]] | None = None,
 ) -> dict[str, str]:
     """Writes each table to its own folder, partitioned by the columns ``by`` names for it.
 
     Partitioned tables are rebalanced first: adaptive execution gathers a partition value's
-    rows into few files and splits a value that holds too many over several tasks. Returns
-    the folder of each table.
+    rows into few files and splits a value that holds too many over several tasks. ``watch`` names
+    aggregates to take of a table's rows as they are written; they belong to the tasks that write,
+    so a task or shuffle that runs again counts once. Returns the folder of each table.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}, known: {', '.join(FORMATS)}")
@@ -62,6 +64,9 @@ def write(
         columns = list((by or {}).get(name, ()))
         if columns:
             df = df.hint("rebalance", *columns)
+        if name in (watch or {}):
+            observation, aggregates = watch[name]
+            df = df.observe(observation, *aggregates)
         writer = df.write.format(fmt).mode(mode).option("maxRecordsPerFile", rows_per_file)
         if fmt == "csv":
             writer = writer.options(**CSV)
