@@ -20,9 +20,23 @@ PHONE = frozenset("0123456789 ().-")
 STOPS = frozenset(" \t\n\x0b\x0c\r\"'<>()[]{}|\\^`")
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
+# fixed values: how web addresses begin, words that a secret follows, and prefixes of keys with their least and most signs
 SCHEMES = ("http://", "https://", "ftp://")
-SECRETS = ("password=", "passwd=", "pwd=", "secret=", "token=", "api_key=", "apikey=")
-KEYS = {"AKIA": 20, "ghp_": 40}  # prefix and whole length
+HOSTS = ("www.",)
+SECRETS = (
+    "password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey",
+    "secret_key", "secretkey", "private_key", "auth_key", "authkey", "credential", "credentials", "bearer",
+)
+KEYS = {
+    "AKIA": (20, 20), "ASIA": (20, 20), "AIza": (39, 39), "ghp_": (40, 40), "gho_": (40, 40), "ghu_": (40, 40), "ghs_": (40, 40),
+    "ghr_": (40, 80), "github_pat_": (40, 120), "glpat-": (26, 80), "xoxb-": (24, 120), "xoxp-": (24, 120), "xoxa-": (24, 120),
+    "sk_live_": (24, 140), "rk_live_": (24, 140), "npm_": (40, 40), "hf_": (37, 37),
+}
+BLOCK = "-----BEGIN "  # of a private key
+TOKEN = "eyJ"  # a signed token: three parts joined by dots
+KEY_SIGNS = LOCAL - frozenset("%+.")
+LEAST_SECRET = 6  # signs of a value
+BARE = 16  # signs of a value after a word that nothing but a blank follows
 Span = tuple[int, int]
 Found = tuple[Span | None, int]  # the match, and where the next one may begin
 
@@ -109,8 +123,13 @@ def phone(text: str, at: int, free: int) -> Found:
 
 
 def url(text: str, at: int, free: int) -> Found:
-    """From a scheme: up to the next blank, quote or bracket, without closing punctuation."""
-    first = end = text.index("://", at) + 3
+    """From a scheme or ``www.``: up to the next blank, quote or bracket, without closing punctuation."""
+    if text[at : at + 4].lower() == "www.":
+        if at and text[at - 1] in WORD or text[at + 4 : at + 5] not in LABEL - {"-"} or not text[at + 4 : at + 5]:
+            return None, free
+        first = end = at + 4
+    else:
+        first = end = text.index("://", at) + 3
     while end < len(text) and text[end] not in STOPS and not text[end].isspace():
         end += 1
     while end > first and text[end - 1] in ".,;:!?":
@@ -137,20 +156,85 @@ def account(text: str, at: int, free: int) -> Found:
     return ((at, end), end) if number % 97 == 1 else (None, free)
 
 
+def _word(text: str, at: int) -> str | None:
+    """The word at a place that a secret may follow; the longest of those that fit."""
+    fits = [cue for cue in SECRETS if text[at : at + len(cue)].lower() == cue]
+    return max(fits, key=len) if fits else None
+
+
+def _blanks(text: str, at: int) -> int:
+    while at < len(text) and text[at] in " \t":
+        at += 1
+    return at
+
+
+def _value(text: str, at: int) -> tuple[int, int, bool]:
+    """(start, end, quoted) of a value: what a pair of quotes holds, or all up to the next blank, quote or bracket."""
+    quote = text[at : at + 1]
+    if quote and quote in "\"'`":
+        end = at + 1
+        while end < len(text) and text[end] not in (quote, "\n"):
+            end += 1
+        if text[end : end + 1] == quote:
+            return at + 1, end, True
+        at += 1
+    end = at
+    while end < len(text) and text[end] not in STOPS and not text[end].isspace():
+        end += 1
+    while end > at and text[end - 1] in ".,;:!?":
+        end -= 1
+    return at, end, False
+
+
+def _assigned(text: str, at: int, cue: str) -> int | None:
+    """The end of the value that a cue's word is given by an equals sign or a colon, or that follows ``bearer``."""
+    end = at + len(cue)
+    if text[end : end + 1] and text[end] in WORD | {"_"}:
+        return None  # another word
+    sign = end
+    while sign < len(text) and sign < end + 2 and text[sign] in "\"'`]":  # what closes a quoted name
+        sign += 1
+    sign = _blanks(text, sign)
+    first = sign
+    while sign < len(text) and text[sign] in "=:>" and sign - first < 2:
+        sign += 1
+    start, stop, quoted = _value(text, _blanks(text, sign))
+    value = text[start:stop]
+    digit, letter = any(c in DIGIT for c in value), any(c.isalpha() for c in value)
+    if first == sign:  # no sign between
+        return stop if cue == "bearer" and len(value) >= BARE and digit and letter else None
+    tight = text[first] == "=" and start == end + 1
+    if len(value) < LEAST_SECRET or not (tight or digit or (quoted and not any(c.isspace() for c in value))):
+        return None
+    return stop
+
+
 def secret(text: str, at: int, free: int) -> Found:
-    """From a cue such as ``password=``: the value after it; from a key's prefix: the whole key."""
-    for prefix, length in KEYS.items():
+    """A secret from its cue: the value that a word such as ``token`` is given, whatever blanks and quotes
+    stand around it; a key by its prefix; a signed token; a block with a private key."""
+    if text.startswith(BLOCK, at):
+        line = text.find("PRIVATE KEY-----", at, at + 60)
+        if line < 0:
+            return None, free
+        end = text.find("-----END ", line)
+        stop = text.find("KEY-----", end) if end >= 0 else -1
+        return ((at, stop + 8), stop + 8) if stop >= 0 else ((at, line + 16), line + 16)
+    alone = not (at and text[at - 1] in WORD)
+    if text.startswith(TOKEN, at):
+        end, parts = at, 1
+        while end < len(text) and (text[end] in KEY_SIGNS or text[end] == "."):
+            parts += text[end] == "."
+            end += 1
+        return ((at, end), end) if alone and parts == 3 and end - at >= 40 and text[end - 1] != "." else (None, free)
+    for prefix, (least, most) in KEYS.items():
         if text.startswith(prefix, at):
             end = at
-            while end < len(text) and text[end] in WORD | {"_"}:
+            while end < len(text) and text[end] in KEY_SIGNS:
                 end += 1
-            alone = not (at and text[at - 1] in WORD)
-            return ((at, end), end) if alone and end - at == length else (None, free)
-    end = text.index("=", at) + 1
-    first = end
-    while end < len(text) and text[end] not in STOPS and not text[end].isspace():
-        end += 1
-    return ((at, end), end) if end - first >= 6 else (None, free)
+            return ((at, end), end) if alone and least <= end - at <= most else (None, free)
+    cue = _word(text, at)
+    end = _assigned(text, at, cue) if cue else None
+    return ((at, end), end) if end is not None else (None, free)
 
 
 PARSERS: dict[str, Callable[[str, int, int], Found]] = {
@@ -162,9 +246,9 @@ def anchors() -> ahocorasick.Automaton:
     """The automaton of all cues: at-signs, plus signs, digits, schemes, identifier cues."""
     found = ahocorasick.Automaton()
     cues = {"@": ("email",), "+": ("phone",), **{d: ("ip", "card") for d in sorted(DIGIT)}}
-    cues |= {s: ("url",) for scheme in SCHEMES for s in (scheme, scheme.upper())}
+    cues |= {s: ("url",) for scheme in (*SCHEMES, *HOSTS) for s in (scheme, scheme.upper())}
     cues |= {s: ("secret",) for cue in SECRETS for s in (cue, cue.upper(), cue.capitalize())}
-    cues |= {s: ("secret",) for s in KEYS}
+    cues |= {s: ("secret",) for s in (*KEYS, BLOCK, TOKEN)}
     for cue, kinds in cues.items():
         found.add_word(cue, (len(cue), kinds))
     found.make_automaton()
@@ -201,9 +285,10 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row's personal data: counts per base kind, a digest of the base spans, all spans.
+    """Every row's personal data: counts per base kind, a digest of the base spans, all spans, n_sensitive.
 
-    Base kinds are email, ip, card and phone; the method adds url, account and secret. Per kind,
+    Base kinds are email, ip, card and phone; the method adds url, account and secret. ``n_sensitive``
+    counts the spans of all kinds but url. Per kind,
     spans are leftmost and do not overlap; a number, card or phone that matches but fails its
     check is dropped and not tried again from a later sign. A null text is empty. Repeated rows,
     rows without id and other columns change nothing; an empty table gives no rows. Each row is
@@ -214,7 +299,7 @@ def find_personal_data(df: DataFrame, id: str = "doc_id", text: str = "text") ->
         automaton = anchors()
         for batch in batches:
             counts: dict[str, list[int]] = {kind: [] for kind in BASE}
-            digests, joined = [], []
+            digests, joined, sensitive = [], [], []
             for value in batch.column("text").to_pylist():
                 found = spans(value, automaton)
                 base = [s for s in found if s[0] in BASE]
@@ -222,13 +307,15 @@ def find_personal_data(df: DataFrame, id: str = "doc_id", text: str = "text") ->
                     own.append(sum(s[0] == kind for s in base))
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 joined.append(_joined(found))
+                sensitive.append(sum(s[0] != "url" for s in found))
             columns = {"doc_id": batch.column("doc_id")}
             columns |= {f"n_{kind}": pa.array(own, pa.int64()) for kind, own in counts.items()}
             columns |= {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(joined, pa.string())}
+            columns["n_sensitive"] = pa.array(sensitive, pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = df.schema[id].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
+    schema = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_sensitive long"
     return df.select(df[id].alias("doc_id"), F.coalesce(df[text], F.lit("")).alias("text")).mapInArrow(look, schema)
 
 
