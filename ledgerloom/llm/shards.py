@@ -6,6 +6,7 @@ import json
 from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,19 +87,72 @@ def grown(where: Sequence[int], load: Mapping[int, int], shards: int) -> list[in
     return where
 
 
-def save_map(spark: SparkSession, path: str, version: int, where: Sequence[int]) -> None:
-    """Appends one version (version, slot, shard) to the stored map."""
+def shrunk(where: Sequence[int], load: Mapping[int, int], shards: int) -> list[int]:
+    """The map for fewer shards: the slots of those beyond go to the emptiest ones, none moves elsewhere."""
+    where = list(where)
+    total = [0] * shards
+    for slot, shard in enumerate(where):
+        if shard < shards:
+            total[shard] += load.get(slot, 0)
+    for size, slot in sorted(((load.get(s, 0), s) for s, shard in enumerate(where) if shard >= shards), reverse=True):
+        where[slot] = min(range(shards), key=lambda s: (total[s], s))
+        total[where[slot]] += size
+    return where
+
+
+def last_version(spark: SparkSession, path: str) -> int | None:
+    """The number of the last stored version, None where no map is stored yet."""
+    try:
+        return spark.read.parquet(path).agg(F.max("version")).head()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def save_map(spark: SparkSession, path: str, version: int, where: Sequence[int], shards: int) -> None:
+    """Appends a version (version, shards, slot, shard) to the stored map; only the next one is taken."""
+    last = last_version(spark, path)
+    if version != (0 if last is None else last + 1):
+        raise ValueError(f"version {version} cannot follow version {last} of {path}")
     listed = F.from_json(F.lit(json.dumps(list(where))), "array<int>")
-    spark.range(1).select(F.lit(version).alias("version"), F.posexplode(listed).alias("slot", "shard")).coalesce(
-        1
-    ).write.mode("append").parquet(path)
+    rows = spark.range(1).select(F.lit(version).alias("version"), F.lit(shards).alias("shards"), F.posexplode(listed).alias("slot", "shard"))
+    rows.coalesce(1).write.mode("append").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """(slot, shard) of a version, or of the last one."""
-    stored = spark.read.parquet(path)
-    wanted = stored.agg(F.max("version")).head()[0] if version is None else version
-    return stored.filter(F.col("version") == wanted).select("slot", "shard")
+    """(slot, shard) of a version, or of the last one. A slot that a version names twice is an error."""
+    wanted = last_version(spark, path) if version is None else version
+    own = spark.read.parquet(path).filter(F.col("version") == wanted).groupBy("slot")
+    twice = F.raise_error(F.lit(f"version {wanted} of {path} has a slot twice"))
+    return own.agg(F.min("shard").alias("shard"), F.count(F.lit(1)).alias("n")).select(
+        "slot", F.when(F.col("n") > 1, twice.cast("int")).otherwise(F.col("shard")).alias("shard")
+    )
+
+
+def next_map(spark: SparkSession, path: str, load: Mapping[int, int], shards: int, slots: int) -> list[int]:
+    """Edits the stored map, or the first one, for the bytes that slots hold now, and stores the result.
+
+    With as many shards as before slots are moved until the shards are near equal. With more, new ones
+    take slots and no other moves; with fewer, the slots of those left out go to the emptiest.
+    """
+    version = last_version(spark, path)
+    if version is None:
+        version, before, where = 0, shards, first_map(shards, slots)
+        save_map(spark, path, version, where, shards)
+    else:
+        rows = spark.read.parquet(path).filter(F.col("version") == version).select("slot", "shard", "shards").collect()  # slots rows
+        if sorted(r["slot"] for r in rows) != list(range(slots)):
+            raise ValueError(f"version {version} of {path} does not have each of {slots} slots once")
+        before, where = rows[0]["shards"], [r["shard"] for r in sorted(rows, key=lambda r: r["slot"])]
+    if shards == before:
+        where = rebalance(where, load, shards)
+    for count in range(before, shards):
+        where = grown(where, load, count)
+    if shards < before:
+        where = shrunk(where, load, shards)
+    save_map(spark, path, version + 1, where, shards)
+    return where
 
 
 def records(df: DataFrame, id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -119,11 +173,13 @@ def shard(
 ) -> DataFrame:
     """Every row's shard under the law ``bytes``, with its place in the shard (0, 1, ...).
 
-    Rows are hashed to ``slots`` virtual slots, the bytes of each slot are summed, and the stored
-    map (``path``; a fresh folder if None) gets a new version in which slots were moved between
-    shards until the sizes are near equal. Only (slot, bytes, rows) reaches the driver: ``slots``
-    rows, whatever the input. Places are numbered within a slot, behind the rows of the shard's
-    lower slots, so no task holds a whole shard.
+    Rows are hashed to ``slots`` virtual slots, the bytes of each slot are summed, and the map stored
+    in ``path`` (a fresh folder if None) gets one version more, an edit of its last: as many shards as
+    before are rebalanced, a new shard only takes slots. A slot stays where it is unless it is
+    moved, so calls over a growing table move little. Only (slot, bytes, rows) reaches the driver:
+    ``slots`` rows, whatever the input. Places are numbered within a slot, behind the rows of the
+    shard's lower slots, so no task holds a whole shard. The groups that may be large are those of
+    equal texts: their rows have different ids, and so spread over all slots.
 
     A null text has no bytes but the overhead. Repeated rows each get a place; their order among
     each other is open. An empty table gives no rows, and the map of version 0 stays. Extra
@@ -134,9 +190,7 @@ def shard(
     sized = settled(records(df, id, text, slots), "records")
     loads = settled(sized.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "loads")
     load = {r["virtual_slot"]: r["bytes"] for r in loads.collect()}
-    start = first_map(shards, slots)
-    save_map(spark, path, 0, start)
-    save_map(spark, path, 1, rebalance(start, load, shards))
+    next_map(spark, path, load, shards, slots)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     places = loads.join(load_map(spark, path).withColumnRenamed("slot", "virtual_slot"), "virtual_slot").select(
         "virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")
