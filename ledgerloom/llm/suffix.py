@@ -20,10 +20,6 @@ HOT_BYTES = 2**24  # stretches of one seed beyond this are compared string by st
 CHUNK = 2 * 2**20
 
 
-def _buckets(text: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))))
-
-
 def _dealt(sources: np.ndarray, text: np.ndarray, keep: np.ndarray, into: list[list[np.ndarray]]) -> None:
     """Appends the positions before ``sources``, in order, to the list of their own symbol."""
     before = sources[keep] - 1
@@ -176,8 +172,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, powers: Powers, length: int
     return text, starts - offsets[text], runs, full[where[starts]], powers.hashes(sums, starts, ended + length)
 
 
-def _stretch_rows(df: DataFrame, length: int, only_seed: bool) -> DataFrame:
-    """Rows (seed[, whole, tkey, dkey, start, run]) of all stretches; texts are cut into no pieces."""
+def _stretch_rows(df: DataFrame, length: int) -> DataFrame:
+    """Rows (seed, whole, tkey, dkey, start, run) of all stretches, narrow ones; texts are cut into no pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -189,15 +185,12 @@ def _stretch_rows(df: DataFrame, length: int, only_seed: bool) -> DataFrame:
                 part = batch.slice(low, high - low)
                 low = high
                 text, start, run, seed, whole = stretches(*text_bytes(part.column("text")), powers, length)
-                columns = {"seed": pa.array(seed.view(np.int64))}
-                if not only_seed:
-                    columns |= {"whole": pa.array(whole.view(np.int64))}
-                    columns |= {name: part.column(name).take(pa.array(text)) for name in ("tkey", "dkey")}
-                    columns |= {"start": pa.array(start), "run": pa.array(run)}
+                columns = {"seed": pa.array(seed.view(np.int64)), "whole": pa.array(whole.view(np.int64))}
+                columns |= {name: part.column(name).take(pa.array(text)) for name in ("tkey", "dkey")}
+                columns |= {"start": pa.array(start), "run": pa.array(run)}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    more = "" if only_seed else ", whole long, tkey long, dkey long, start long, run long"
-    return df.select("text", "tkey", "dkey").mapInArrow(cut, f"seed long{more}")
+    return df.select("text", "tkey", "dkey").mapInArrow(cut, "seed long, whole long, tkey long, dkey long, start long, run long")
 
 
 def _keyed(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -245,8 +238,9 @@ def repeats(rows: DataFrame, length: int) -> DataFrame:
     seed that exceed HOT_BYTES are compared as hashes of their strings instead, counted in tasks
     first, so that no shard grows with a passage that many texts share.
     """
-    often = _stretch_rows(rows, length, True).groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    found = settled(_stretch_rows(rows, length, False).join(often, "seed", "left_semi"), "stretches")
+    every = settled(_stretch_rows(rows, length), "every")
+    often = every.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    found = settled(every.join(often, "seed", "left_semi"), "stretches")
     place = F.min(F.struct("tkey", "dkey", "start", "run")).alias("one")
     kinds = settled(found.groupBy("seed", "whole").agg(place, F.count("*").alias("n")).select("seed", "whole", "one.*", "n"), "kinds")
     seeds = (
