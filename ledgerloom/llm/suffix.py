@@ -112,10 +112,10 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
     suffix's place, is needed only up to ``length``: it is told by a hash of that many bytes.
     """
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
-    text = np.frombuffer(b"\0".join([*segments, b""]), dtype=np.uint8).astype(np.int64) + 2
+    text = np.frombuffer(b"\0".join([*segments, b""]), dtype=np.uint8).astype(np.uint16) + np.uint16(2)  # 16 bits are sorted by radix
     begins = np.cumsum(sizes + 1) - sizes - 1
     text[begins + sizes] = 1
-    text = np.append(text, 0)
+    text = np.append(text, np.uint16(0))
     order = suffix_array(text)
     powers = Powers()
     sums = powers.sums(text)
