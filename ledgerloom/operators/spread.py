@@ -195,6 +195,12 @@ _FOLDS = {
         lambda t, w: F.last(t, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
         lambda here, other: F.coalesce(here, other),
     ),
+    "max_before": (
+        lambda v, w, _: F.max(v).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        lambda v, _: F.max(v),
+        lambda t, w: F.max(t).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        lambda here, other: F.greatest(here, other),
+    ),
     "next": (
         lambda v, w, _: F.lead(v).over(w),
         lambda v, order: F.min_by(v, order),
@@ -218,8 +224,8 @@ def ordered_scan(
     """Adds running values over ``by`` groups in ascending ``order``.
 
     ``outs`` maps new columns to what runs through them. Kinds: ``sum`` up to and with the
-    row, ``last`` non-null value up to and with the row, ``next`` row's value. ``order``
-    has to be unique within a group for the result to be fixed.
+    row, ``last`` non-null value up to and with the row, ``max_before`` the row, ``next`` row's value.
+    ``order`` has to be unique within a group for the result to be fixed.
 
     Groups that fit a task use one window. Heavy groups (``by=[]`` is one group) are cut
     into ranges of the order columns: a window within each range, one total per range, a

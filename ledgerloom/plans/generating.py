@@ -11,6 +11,7 @@ from ledgerloom.functions.draws import draw
 from ledgerloom.functions.values import cents, choice, code, date_draw, dist, fk, whole
 from ledgerloom.operators import generate as g
 from ledgerloom.operators.imitate import choice_from
+from ledgerloom.operators import validity as vd
 from ledgerloom.operators.spread import Limits, dense_number
 from ledgerloom.plans import sqltext as q
 from ledgerloom.plans.registry import SEED, Register, day, rounded
@@ -457,3 +458,74 @@ def planted(spark: SparkSession, folder: str) -> DataFrame:
 @register.add("inject_defects", f"WITH {planted_sql()} SELECT * FROM p")
 def inject_defects(spark: SparkSession, folder: str) -> DataFrame:
     return planted(spark, folder)
+
+
+_RANGES_SQL = f"""
+    r AS (
+        SELECT o_orderkey, o_custkey, o_orderdate::DATE AS valid_from,
+               CASE WHEN {_s('open', 'o_orderkey')} < 0.01 THEN NULL
+                    ELSE (o_orderdate::DATE + floor({_s('valid', 'o_orderkey')} * 120e0)::INTEGER)::DATE END AS valid_to
+        FROM orders),
+    e AS (SELECT *, coalesce(valid_to, DATE '{vd.OPEN}') AS fin FROM r),
+    w AS (
+        SELECT *, max(fin) OVER (PARTITION BY o_custkey ORDER BY valid_from, fin, o_orderkey
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+        FROM e WHERE valid_from < fin)"""
+_FAULTS_SQL = f"""
+    WITH {_RANGES_SQL}
+    SELECT o_orderkey, o_custkey, CASE WHEN reached > valid_from THEN 'overlap' ELSE 'gap' END AS fault,
+           CASE WHEN reached > valid_from THEN nullif(least(reached, fin), DATE '{vd.OPEN}') - valid_from ELSE valid_from - reached END::BIGINT AS days
+    FROM w WHERE reached <> valid_from
+    UNION ALL SELECT o_orderkey, o_custkey, 'empty', 0 FROM e WHERE valid_from >= fin
+    """
+_COVERED_SQL = f"""
+    WITH {_RANGES_SQL},
+    n AS (
+        SELECT *, sum(CASE WHEN reached IS NULL OR reached < valid_from THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY o_custkey ORDER BY valid_from, fin, o_orderkey ROWS UNBOUNDED PRECEDING) AS part
+        FROM w)
+    SELECT o_custkey, {q.day('min(valid_from)')} AS valid_from,
+           {q.day(f"nullif(max(fin), DATE '{vd.OPEN}')")} AS valid_to, count(*) AS rows
+    FROM n GROUP BY o_custkey, part
+    """
+
+
+def _ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order's date as the beginning of a range of up to 119 days, a hundredth of them open, many overlapping."""
+    orders = given(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("valid_from"))
+    length = F.floor(_u("valid", "o_orderkey") * 120.0).cast("int")
+    end = F.when(_u("open", "o_orderkey") >= 0.01, F.date_add("valid_from", length))
+    return orders.withColumn("valid_to", end)
+
+
+def _faults(spark: SparkSession, folder: str, **options) -> DataFrame:
+    found = vd.validity_faults(_ranges(spark, folder), ["o_custkey"], "valid_from", "valid_to", ["o_orderkey"], **options)
+    return found.select("o_orderkey", "o_custkey", "fault", F.col("days").cast("bigint").alias("days"))
+
+
+def _covered(spark: SparkSession, folder: str, **options) -> DataFrame:
+    found = vd.covered(_ranges(spark, folder), ["o_custkey"], "valid_from", "valid_to", ["o_orderkey"], **options)
+    return found.select("o_custkey", day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"), "rows")
+
+
+@register.add("validity_faults", _FAULTS_SQL)
+def validity_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the ranges of a customer overlap, leave a gap, or hold no day."""
+    return _faults(spark, folder)
+
+
+@register.add("validity_faults_split", _FAULTS_SQL)
+def validity_faults_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with customers of many orders swept in pieces."""
+    return _faults(spark, folder, limits=Limits(broadcast_rows=100, heavy_rows=8))
+
+
+@register.add("validity_covered", _COVERED_SQL)
+def validity_covered(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranges that a customer's orders cover together."""
+    return _covered(spark, folder)
+
+
+@register.add("validity_covered_split", _COVERED_SQL)
+def validity_covered_split(spark: SparkSession, folder: str) -> DataFrame:
+    return _covered(spark, folder, limits=Limits(broadcast_rows=100, heavy_rows=8))

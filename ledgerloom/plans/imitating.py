@@ -12,6 +12,7 @@ from ledgerloom.functions.values import fk
 from ledgerloom.operators import checks as c
 from ledgerloom.operators import imitate as im
 from ledgerloom.operators import sketches as sk
+from ledgerloom.operators.alias import alias_choice, alias_table
 from ledgerloom.operators.spread import Limits
 from ledgerloom.plans import sqltext as q
 from ledgerloom.plans.registry import SEED, Register, rounded
@@ -262,6 +263,45 @@ def conditional_choice_split(spark: SparkSession, folder: str) -> DataFrame:
     return _chosen(spark, folder, limits=Limits(broadcast_rows=2, heavy_rows=1_500))
 
 
+_ALIAS_SQL = f"""
+    WITH c AS (SELECT o_custkey AS v, count(*) * count(*) AS w FROM orders GROUP BY 1),
+    t AS (SELECT count(*) AS n, sum(w)::BIGINT AS whole FROM c),
+    s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS slot, (w * n - whole)::BIGINT AS over, whole, n FROM c, t),
+    l AS (SELECT v, slot, over, whole, (sum(-over) OVER (ORDER BY v) + over)::BIGINT AS pos FROM s WHERE over < 0),
+    h AS (SELECT v, slot, whole, (sum(over) OVER (ORDER BY v))::BIGINT AS pos, lead(v) OVER (ORDER BY v) AS after
+          FROM s WHERE over > 0),
+    a AS (
+        SELECT l.slot, l.v, l.whole + l.over AS own, h.v AS alias FROM l ASOF JOIN h ON l.pos < h.pos
+        UNION ALL
+        SELECT h.slot, h.v, h.whole - (coalesce(l.pos, (SELECT sum(-over) FROM l)) - h.pos), h.after
+        FROM h ASOF LEFT JOIN l ON h.pos <= l.pos
+        UNION ALL SELECT slot, v, whole, NULL FROM s WHERE over = 0),
+    d AS (SELECT o_orderkey, floor({_s('alias_slot', 'o_orderkey')} * n::DOUBLE)::BIGINT AS slot,
+                 floor({_s('alias_place', 'o_orderkey')} * whole::DOUBLE)::BIGINT AS place FROM orders, t)
+    SELECT o_orderkey, CASE WHEN place < own THEN v ELSE alias END AS customer FROM d JOIN a USING (slot)
+    """
+
+
+def _by_alias(spark: SparkSession, folder: str, **options) -> DataFrame:
+    orders = given(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    counts = orders.groupBy("o_custkey").agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("weight"))
+    slots = alias_table(counts, "o_custkey", "weight", **options)
+    draws = _u("alias_slot", "o_orderkey"), _u("alias_place", "o_orderkey")
+    return alias_choice(orders.select("o_orderkey"), slots, *draws, ["o_orderkey"], "customer", **options)
+
+
+@register.add("weighted_choice_alias", _ALIAS_SQL)
+def weighted_choice_alias(spark: SparkSession, folder: str) -> DataFrame:
+    """A customer for each order, by the square of how many orders customers have, from a slot and a compare."""
+    return _by_alias(spark, folder)
+
+
+@register.add("weighted_choice_alias_split", _ALIAS_SQL)
+def weighted_choice_alias_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for a table of values too large to send out, made in pieces."""
+    return _by_alias(spark, folder, limits=Limits(broadcast_rows=10, heavy_rows=40))
+
+
 _KS_SQL = """
     WITH v AS (
         SELECT l_extendedprice AS v, count(*) FILTER (l_returnflag = 'A') AS a,
