@@ -26,21 +26,21 @@ class Rules:
     word_most: float = 0.95  # nor may they lie further than this
     class_chars: int = 200  # shorter texts say too little about character classes
     word_words: int = 100  # and with fewer words, about common ones
-    reference_words: int = 10_000  # a language needs as many to be a reference
+    reference_words: int = 10_000  # a language needs as many to be a reference; else all languages together stand for its classes
 
 
 RULES = Rules()
 
 
 def _js(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of equal length, each with the sum 1."""
+    """Jensen-Shannon distance of two histograms of equal length, each with the sum 1; null where one is."""
 
     def part(a: Column, m: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
 
     terms = F.zip_with(p, q, lambda a, b: part(a, (a + b) / 2) / 2 + part(b, (a + b) / 2) / 2)
     total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
 def _sum(counts: Column) -> Column:
@@ -105,16 +105,19 @@ def _repeated_lines(text: Column) -> Column:
 
 
 def references(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = RULES) -> DataFrame:
-    """One row per language with enough words: lang, ref_classes, common, ref_words, ref_none.
+    """One row per language: lang, ref_classes, common, ref_words, ref_none.
 
     Counted over all rows: the shares of character classes, and the language's most frequent
-    words with their shares, all other words counting as one. Words are named by a hash and lie in
-    its order. ``ref_none`` is the distance of a text without any of them. Null is a language, too.
+    words with their shares, all other words counting as one. A language with too few words
+    has the shares of all languages together as its classes, and null as its words. Words are named by a
+    hash and lie in its order. ``ref_none`` is the distance of a text without any of them. Null is a language, too.
     """
     rows = df.select(df[lang].alias("lang"), text_of(df, text).alias("text"))
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
-    classes = _classed(rows).groupBy("lang").agg(*sums)
-    classes = classes.select("lang", _shares(F.array(*[f"c{i}" for i in range(len(CLASSES))])).alias("ref_classes"))
+    classes = settled(_classed(rows).groupBy("lang").agg(*sums), "classes")
+    names = [f"c{i}" for i in range(len(CLASSES))]
+    pooled = classes.agg(_shares(F.array(*[F.sum(n) for n in names])).alias("pooled")).scalar()
+    classes = classes.select("lang", _shares(F.array(*names)).alias("own"), pooled.alias("pooled"))
     counted = rows.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
     counts = settled(counted.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -127,7 +130,9 @@ def references(df: DataFrame, text: str = "text", lang: str = "lang", rules: Rul
     lists = lists.select("_lang", F.transform("top", lambda x: x["key"]).alias("common"), shares.alias("ref_words"))
     empty = F.transform("ref_words", lambda x, i: F.when(i == F.size("ref_words") - 1, 1.0).otherwise(0.0))
     lists = lists.withColumn("ref_none", _js(empty, F.col("ref_words")))
-    return classes.join(lists, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
+    found = classes.join(lists, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    ref = F.when(F.col("common").isNotNull(), F.col("own")).otherwise(F.col("pooled"))
+    return found.select("lang", ref.alias("ref_classes"), "common", "ref_words", "ref_none")
 
 
 def judge(
@@ -141,8 +146,8 @@ def judge(
     the words of a text lie hangs on its length, so they are bound by the distances, as parts of
     ``ref_none``, of all texts that pass the base rules and have as many words but for a factor of
     two: by their median and lowest tenth, which a lesser share of junk hardly moves. A distance is
-    null, and says nothing, where the text is too short for it or the language has too few words to
-    be a reference. A null text has no words. Repeated rows, rows without id and other columns
+    null, and says nothing, where the text is too short for it; the words' one also where the
+    language has too few words, whose classes are then held against those of all languages. A null text has no words. Repeated rows, rows without id and other columns
     change nothing; an empty table gives no rows. References come from all rows; a document is
     looked at within its row, so no text is shuffled. The references, a row per language, and the
     counts and distances, without text, are written first.
