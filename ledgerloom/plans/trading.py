@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import reports as r
 from ledgerloom.operators.generate import running
+from ledgerloom.operators.settle import reordered, settle
+from ledgerloom.operators.spread import LIMITS, Limits
 from ledgerloom.plans import company as co
 from ledgerloom.plans import sqltext as q
 from ledgerloom.plans.generating import flow_sql
@@ -214,6 +216,42 @@ def stock_balance(spark: SparkSession, folder: str) -> DataFrame:
     return running(moves, ["item_id"], ["move_date", "move_id"], "qty").select("move_id", "item_id", "balance")
 
 
+SPLIT_ITEMS = Limits(broadcast_rows=100, heavy_rows=50)
+REORDER = {"floor": 0, "lot": 50}
+_REORDER_SQL = f"""
+    WITH RECURSIVE m AS ({_MOVES_SQL}),
+    n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY move_date, move_id) AS k FROM m),
+    s AS (
+        SELECT item_id, 0::BIGINT AS k, 0::BIGINT AS move_id, 0::BIGINT AS ordered, 0::BIGINT AS balance
+        FROM (SELECT DISTINCT item_id FROM n)
+        UNION ALL
+        SELECT item_id, k, move_id, (bought * {REORDER['lot']})::BIGINT, (plain + bought * {REORDER['lot']})::BIGINT
+        FROM (SELECT n.item_id, n.k, n.move_id, s.balance + n.qty AS plain,
+                     greatest(0, ceil(({REORDER['floor']} - s.balance - n.qty)::DOUBLE / {REORDER['lot']}))::BIGINT AS bought
+              FROM s JOIN n ON n.item_id = s.item_id AND n.k = s.k + 1))
+    SELECT move_id, item_id, ordered, balance FROM s WHERE k > 0
+    """
+
+
+def _reordered(spark: SparkSession, folder: str, limits: Limits) -> DataFrame:
+    moves = co.stock_move(spark, co.sized_like(spark, folder), SEED)
+    kept = reordered(moves, ["item_id"], ["move_date", "move_id"], "qty", **REORDER, limits=limits)
+    return kept.select("move_id", "item_id", "ordered", "balance")
+
+
+@register.add("stock_reordered", _REORDER_SQL)
+def stock_reordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Stock that is bought in lots before it falls below zero; the SQL goes movement by movement."""
+    return _reordered(spark, folder, LIMITS)
+
+
+@register.add("stock_reordered_split", _REORDER_SQL)
+def stock_reordered_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the busiest items scanned in pieces."""
+    return _reordered(spark, folder, SPLIT_ITEMS)
+
+
+
 @register.add(
     "check_generated",
     f"""
@@ -337,8 +375,12 @@ def trial_balance(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(r.trial_balance(by_month, ["account_id", "period"]))
 
 
-def _ageing_sql() -> str:
-    late = f"date_diff('day', invoice_date + {co.DUE_DAYS}, DATE '{AS_OF}')"
+def _late(due: str) -> str:
+    return f"date_diff('day', {due}, DATE '{AS_OF}')"
+
+
+def _ageing_sql(open_items: str) -> str:
+    """``open_items`` ends in the table ``a`` of (customer_id, late, owed)."""
     conditions = [f"late <= {r.AGES[0]}"]
     conditions += [f"late > {low} AND late <= {high}" for low, high in zip(r.AGES, r.AGES[1:])]
     conditions += [f"late > {r.AGES[-1]}"]
@@ -347,15 +389,19 @@ def _ageing_sql() -> str:
         for name, condition in zip(r.age_names(), conditions)
     )
     return f"""
-    WITH {_PAID},
-    a AS (SELECT customer_id, {late} AS late,
+    WITH {open_items}
+    SELECT customer_id, {sums}, sum(owed)::BIGINT AS open FROM a WHERE owed <> 0 GROUP BY 1
+    """
+
+
+_OWN_SQL = f"""{_PAID},
+    a AS (SELECT customer_id, {_late(f'invoice_date + {co.DUE_DAYS}')} AS late,
                  total - CASE WHEN pay_date <= DATE '{AS_OF}' THEN paid ELSE 0 END AS owed
           FROM p WHERE invoice_date <= DATE '{AS_OF}')
-    SELECT customer_id, {sums}, sum(owed)::BIGINT AS open FROM a WHERE owed <> 0 GROUP BY 1
     """
 
 
-@register.add("receivables_ageing", _ageing_sql())
+@register.add("receivables_ageing", _ageing_sql(_OWN_SQL))
 def receivables_ageing(spark: SparkSession, folder: str) -> DataFrame:
     spec = co.sized_like(spark, folder)
     billed = co.with_totals(co.order_facts(spark, spec, SEED).filter(F.col("invoice_date") <= AS_OF), spec, SEED)
@@ -369,6 +415,70 @@ def receivables_ageing(spark: SparkSession, folder: str) -> DataFrame:
     return r.ageing(invoices, payments, F.lit(AS_OF), ["customer_id"])
 
 
+# Invoices and payments of a customer as ranges of one line, and where they overlap.
+_MET = f"""{_PAID},
+    i AS (SELECT customer_id, order_id AS invoice_id, invoice_date + {co.DUE_DAYS} AS due_date, total AS amount,
+                 sum(total) OVER (PARTITION BY customer_id ORDER BY invoice_date, order_id) AS upto
+          FROM p WHERE invoice_date <= DATE '{AS_OF}'),
+    y AS (SELECT customer_id, order_id AS payment_id, paid AS amount,
+                 sum(paid) OVER (PARTITION BY customer_id ORDER BY pay_date, order_id) AS upto
+          FROM p WHERE pay_date <= DATE '{AS_OF}'),
+    met AS (SELECT customer_id, invoice_id, payment_id,
+                   least(i.upto, y.upto) - greatest(i.upto - i.amount, y.upto - y.amount) AS amount
+            FROM i JOIN y USING (customer_id) WHERE i.upto - i.amount < y.upto AND y.upto - y.amount < i.upto),
+    owing AS (SELECT customer_id, invoice_id, due_date, amount - coalesce(paid, 0) AS amount
+              FROM i LEFT JOIN (SELECT invoice_id, sum(amount) AS paid FROM met GROUP BY 1) USING (invoice_id)
+              WHERE amount > coalesce(paid, 0)),
+    spare AS (SELECT customer_id, payment_id, amount - coalesce(used, 0) AS amount
+              FROM y LEFT JOIN (SELECT payment_id, sum(amount) AS used FROM met GROUP BY 1) USING (payment_id)
+              WHERE amount > coalesce(used, 0))
+    """
+_SETTLED_SQL = f"""
+    WITH {_MET}
+    SELECT customer_id, invoice_id, payment_id, amount::BIGINT AS amount FROM met
+    UNION ALL SELECT customer_id, invoice_id, NULL, amount::BIGINT FROM owing
+    UNION ALL SELECT customer_id, NULL, payment_id, amount::BIGINT FROM spare
+    """
+
+
+def _accounts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Invoices and payments up to AS_OF, each with its customer, which follows from the order's key."""
+    spec = co.sized_like(spark, folder)
+    billed = co.with_totals(co.order_facts(spark, spec, SEED).filter(F.col("invoice_date") <= AS_OF), spec, SEED)
+    due = F.date_add("invoice_date", co.DUE_DAYS).alias("due_date")
+    invoices = billed.select("customer_id", F.col("order_id").alias("invoice_id"), due, F.col("total").alias("amount"))
+    paid = billed.filter(F.col("pay_date") <= AS_OF).select(
+        "customer_id",
+        F.col("order_id").alias("payment_id"),
+        "pay_date",
+        co.paid_amount(SEED, "order_id", F.col("total")).alias("amount"),
+    )
+    return invoices, paid
+
+
+@register.add("payments_settled", _SETTLED_SQL)
+def payments_settled(spark: SparkSession, folder: str) -> DataFrame:
+    """What each payment pays of which invoice when a customer's oldest debts are paid first."""
+    return settle(*_accounts(spark, folder), ["customer_id"])
+
+
+@register.add("payments_settled_split", _SETTLED_SQL)
+def payments_settled_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the busiest customers scanned in pieces."""
+    return settle(*_accounts(spark, folder), ["customer_id"], limits=SPLIT_ITEMS)
+
+
+@register.add(
+    "receivables_ageing_settled",
+    _ageing_sql(f"{_MET}, a AS (SELECT customer_id, {_late('due_date')} AS late, amount AS owed FROM owing)"),
+)
+def receivables_ageing_settled(spark: SparkSession, folder: str) -> DataFrame:
+    """Ageing of what stays open when the oldest debts are paid first, not each payment's own invoice."""
+    invoices, paid = _accounts(spark, folder)
+    met = settle(invoices, paid, ["customer_id"]).filter("invoice_id IS NOT NULL AND payment_id IS NOT NULL")
+    return r.ageing(invoices, met, F.lit(AS_OF), ["customer_id"])
+
+
 @register.add(
     "write_tables",
     f"""
