@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict, deque
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import settled, text_of, whole_row, words_of
+from ledgerloom.operators.spread import lookup_join, ordered_scan
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3  # times a document may be taken at most
 COSTS = (0, 1, 4)  # of a word's first, second and third use: each repetition costs more
 SEED = 20240229
 DRAW_BITS, STEP_BITS, STEPS = 63, 12, 3
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 100_000  # overlapping memberships that the flow on the driver takes
 
 Source = str | None
 
 
-@dataclass(frozen=True)
-class Share:
-    """What a membership pattern gives: all its documents ``full`` times, and ``part`` words more."""
-
-    full: int
-    part: int
-
-
 def in_order(sources: Sequence[Source]) -> list[Source]:
     """By code point, null last."""
     return sorted(sources, key=lambda s: (s is None, s or ""))
@@ -139,89 +130,158 @@ def _measures(df: DataFrame, id: str, text: str, source: str, seed: int) -> dict
     return {"_pattern": F.to_json(own), "_size": F.size(words_of(text_of(df, text))).cast("long"), "_draw": draw}
 
 
+def _quotas(sources: DataFrame, rows: int, total: int, weights: Sequence[float], epochs: int) -> DataFrame:
+    """Adds ``target`` to (source, source_size): what ``targets`` gives, by a sweep over all sources instead of rounds.
+
+    Sources are numbered by code point. In the order of bound (``epochs`` times the size) over weight, the
+    first one that holds its share of what those before it leave is the first that is not bounded;
+    its level of words per weight holds for all. Only that level comes to the driver.
+    """
+    known = sources.withColumns({"_null": F.col("source").isNull().cast("int"), "_one": F.lit(1).cast("long")})
+    numbered = ordered_scan(known, [], ["_null", "source"], {"_place": "_one"}, "sum", rows=rows)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_place") - 1) % len(weights)).cast("int"))
+    bounded = numbered.withColumns({"_weight": weight, "_most": F.col("source_size") * F.lit(epochs)})
+    bounded = bounded.withColumn("_ratio", F.col("_most") / F.col("_weight"))
+    swept = ordered_scan(bounded, [], ["_ratio", "_place"], {"_mosts": "_most", "_weights": "_weight"}, "sum", rows=rows)
+    every = sum(float(w) * len(range(i, rows, len(weights))) for i, w in enumerate(weights))
+    left = F.lit(total).cast("double") - (F.col("_mosts") - F.col("_most"))
+    whole = F.lit(every) - (F.col("_weights") - F.col("_weight"))
+    free = swept.select("_ratio", "_place", "_most", "_weight", left.alias("left"), whole.alias("whole"))
+    free = free.filter(F.col("left") * F.col("_weight") / F.col("whole") <= F.col("_most"))
+    level = free.agg(F.min_by(F.struct("left", "whole"), F.struct("_ratio", "_place"))).head()[0]
+    share = F.col("_most").cast("double")
+    if level is not None:
+        share = F.least(share, F.lit(level["left"]) * F.col("_weight") / F.lit(level["whole"]))
+    return bounded.select("source", "source_size", share.alias("target"))
+
+
+def _overlapping(members: DataFrame, costs: Sequence[int]) -> DataFrame:
+    """(_pattern, routed) of patterns that share sources with others, directly or not, by the min-cost flow.
+
+    ``members`` has a row per pattern and source: (_pattern, size, source, target, _many). The flow runs on
+    the driver, over one row per membership; more than MAX_PATTERNS overlapping memberships are refused.
+    """
+    spark = members.sparkSession
+    shared = members.filter("_many").select(F.col("source").alias("_shared")).distinct()
+    tied = members.join(shared, members["source"].eqNullSafe(shared["_shared"]), "left_semi")
+    ids = tied.select("_pattern").distinct()
+    rows = members.join(ids, "_pattern", "left_semi").limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"overlapping sources have more than {MAX_PATTERNS} memberships")
+    rows.sort(key=lambda r: (r["_pattern"], r["source"] is None, r["source"] or ""))
+    own: dict[str, list[Source]] = defaultdict(list)
+    for r in rows:
+        own[r["_pattern"]].append(r["source"])
+    quota = {r["source"]: round(r["target"]) for r in rows}
+    routed = flow({r["_pattern"]: r["size"] for r in rows}, own, quota, costs)
+    return spark.createDataFrame(list(routed.items()), "_pattern string, routed long")
+
+
 def plan_mix(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS,
              costs: Sequence[int] = COSTS) -> DataFrame:
     """One row per pattern: (_pattern, full, below, small, filled, source_size, target).
 
     A document of the pattern is taken ``full`` times, and once more if its draw is less than
-    ``below``, or less than ``filled`` where it has ``small`` words at most. ``narrow`` has (_pattern, _size, _draw). What reaches the driver is a row per
-    pattern and step; more than MAX_PATTERNS patterns are refused.
+    ``below``, or less than ``filled`` where it has ``small`` words at most. ``narrow`` has (_pattern, _size, _draw).
+    A pattern whose one source no other pattern has can only serve that source: its flow is the lesser of its
+    words and the quota, found where it lies, for any number of sources. Patterns that overlap go through the min-cost flow.
     """
-    spark = narrow.sparkSession
-    sums = narrow.groupBy("_pattern").agg(F.sum("_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"sources overlap in more than {MAX_PATTERNS} ways")
-    capacity = {r["_pattern"]: r["size"] for r in sorted(sums, key=lambda r: r["_pattern"])}
-    members = {p: json.loads(p) for p in capacity}
-    sizes: dict[Source, int] = defaultdict(int)
-    for p, own in members.items():
-        for s in own:
-            sizes[s] += capacity[p]
-    want = targets(sizes, sum(capacity.values()), weights, epochs)
-    routed = flow(capacity, members, {s: round(t) for s, t in want.items()}, costs[:epochs])
-    shares = {p: Share(*(divmod(routed[p], n) if n else (0, 0))) for p, n in capacity.items()}
-    first = _thresholds(narrow, {p: s.part for p, s in shares.items() if s.part})
-    again = _thresholds(narrow, {p: gap for p, (_, gap) in first.items() if gap}, {p: t for p, (t, _) in first.items()})
-    lead = {p: in_order(own)[0] for p, own in members.items()}
-    rows = []
-    for p, s in shares.items():
-        below, gap = first.get(p, (0, 0))
-        rows.append((p, s.full, below, max(0, 2 * gap - 1), again.get(p, (0, 0))[0], sizes[lead[p]], float(want[lead[p]])))
-    return spark.createDataFrame(
-        rows, "_pattern string, full int, below long, small long, filled long, source_size long, target double"
+    costs = costs[:epochs]
+    own = F.from_json("_pattern", "array<string>")
+    patterns = narrow.groupBy("_pattern").agg(F.sum("_size").alias("size")).withColumn("_own", own)
+    patterns = settled(patterns.withColumn("_many", F.size("_own") > 1), "patterns")
+    members = patterns.select("_pattern", "size", "_many", F.explode("_own").alias("source"))
+    total, overlaps = patterns.agg(F.sum("size"), F.bool_or("_many")).head()
+    sources = settled(members.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    quotas = settled(_quotas(sources, sources.count(), total or 0, weights, epochs), "quotas")
+    met = members.join(quotas.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    met = met.drop("_source")
+    alone = F.least(F.bround("target").cast("long"), F.col("size") * F.lit(len(costs)))
+    led = patterns.select("_pattern", F.get("_own", F.lit(0)).alias("_lead"))
+    shares = met.join(led, "_pattern").filter(F.col("source").eqNullSafe(F.col("_lead")))
+    shares = shares.select("_pattern", "size", "source_size", "target", alone.alias("_alone"))
+    routed = F.col("_alone")
+    if overlaps:
+        shares = shares.join(_overlapping(met, costs), "_pattern", "left")
+        routed = F.coalesce("routed", "_alone")
+    shares = shares.withColumn("_routed", routed)
+    whole = F.when(F.col("size") > 0, F.expr("_routed div size")).otherwise(F.lit(0).cast("long"))
+    shares = settled(shares.withColumn("full", whole).withColumn("part", F.col("_routed") - whole * F.col("size")), "shares")
+    wanted = shares.filter("part > 0").select("_pattern", F.col("part").alias("want"), F.lit(0).cast("long").alias("above"))
+    first = _thresholds(narrow, wanted, False)
+    gaps = first.filter("left > 0").select("_pattern", F.col("left").alias("want"), F.col("low").alias("above"))
+    again = _thresholds(narrow, gaps, True)
+    none = F.lit(0).cast("long")
+    plan = shares.join(first.select("_pattern", F.col("low").alias("below"), "left"), "_pattern", "left").join(
+        again.select("_pattern", F.col("low").alias("filled")), "_pattern", "left"
     )
+    return settled(
+        plan.select(
+            "_pattern", F.col("full").cast("int").alias("full"), F.coalesce("below", none).alias("below"),
+            F.greatest(none, F.coalesce("left", none) * 2 - 1).alias("small"),
+            F.coalesce("filled", none).alias("filled"), "source_size", "target",
+        ),
+        "plan",
+    )
 
 
-def _thresholds(
-    narrow: DataFrame, wanted: Mapping[str, int], above: Mapping[str, int] | None = None
-) -> dict[str, tuple[int, int]]:
-    """For each pattern the draw below which its documents hold the wanted words, and the words still lacking.
+def _thresholds(narrow: DataFrame, wanted: DataFrame, fill: bool) -> DataFrame:
+    """(_pattern, low, left): the draw below which a pattern's documents hold the wanted words, and the words still lacking.
 
-    Each step counts the words of 2**STEP_BITS ranges of the draw and goes on inside the range in
-    which the wanted sum lies; after the last step a range holds a document or none. Only that
-    range, one row per pattern, comes back. The first round stops short of the document that
+    ``wanted`` has (_pattern, want, above). Each step counts the words of 2**STEP_BITS ranges of the draw and
+    goes on inside the range in which the wanted sum lies; after the last step a range holds a
+    document or none. The first round stops short of the document that
     would go over. The round that fills the gap, of ``above``, looks at later documents of less than
     twice the gap and takes the last one if that is nearer.
     """
-    spark, low, need = narrow.sparkSession, dict.fromkeys(wanted, 0), dict(wanted)
-    left, fill = dict(wanted), above is not None
+    most = (1 << DRAW_BITS) - 1
+    none = F.lit(0).cast("long")
+    state = wanted.select(
+        "_pattern", "want", "above", none.alias("low"), F.col("want").alias("need"), F.col("want").alias("left"),
+        F.lit(True).alias("open"),
+    )
     for step in range(1, STEPS + 1):
-        if not need:
-            break
         shift = DRAW_BITS - STEP_BITS * step
-        state = spark.createDataFrame(
-            [(p, low[p] >> (shift + STEP_BITS), n, above[p] if fill else 0, 2 * wanted[p] - 1) for p, n in need.items()],
-            "_p string, prefix long, need long, above long, most long",
-        )
-        inside = narrow.join(F.broadcast(state), F.col("_pattern") == F.col("_p")).filter(  # a row per pattern
-            F.shiftright("_draw", shift + STEP_BITS) == F.col("prefix")
+        active = state.filter("open").select("_pattern", "want", "above", "low", "need")
+        patterns = active.count()
+        if not patterns:
+            break
+        seen = lookup_join(narrow, active, ["_pattern"], row_key=["_draw"], rows=patterns).filter(
+            F.shiftright("_draw", shift + STEP_BITS) == F.shiftright("low", shift + STEP_BITS)
         )
         if fill:
-            inside = inside.filter((F.col("_draw") >= F.col("above")) & (F.col("_size") <= F.col("most")))
-        ranges = inside.groupBy("_pattern", F.shiftright("_draw", shift).alias("range"), "need").agg(
+            seen = seen.filter((F.col("_draw") >= F.col("above")) & (F.col("_size") <= F.col("want") * 2 - 1))
+        ranges = seen.groupBy("_pattern", F.shiftright("_draw", shift).alias("range"), "need").agg(
             F.sum("_size").alias("size")
         )
-        so_far = F.sum("size").over(Window.partitionBy("_pattern").orderBy("range"))
+        so_far = F.sum("size").over(Window.partitionBy("_pattern").orderBy("range"))  # 2**STEP_BITS rows at most
         hit = ranges.withColumn("upto", so_far).filter(
             (F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("size") < F.col("need"))
         )
-        found = {r["_pattern"]: r for r in hit.collect()}
-        for p in set(need) - set(found):  # fewer words are there than wanted: all of them are taken
-            low[p] = (1 << DRAW_BITS) - 1 if step == 1 else low[p]
-            del need[p]
-        for p, r in found.items():
-            over = r["upto"] - r["need"]
-            low[p], need[p] = r["range"] << shift, r["need"] - (r["upto"] - r["size"])
-            left[p] = need[p]
-            if over == 0 or (fill and step == STEPS and over < need[p]):
-                low[p] += 1 << shift
-                left[p] = 0
-                del need[p]
-    return {p: (low[p], left[p]) for p in wanted}
+        hit = hit.select("_pattern", "range", (F.col("upto") - F.col("need")).alias("over"),
+                         (F.col("need") - F.col("upto") + F.col("size")).alias("rest"))
+        found = F.col("range").isNotNull()
+        closed = F.col("over") == 0
+        if fill and step == STEPS:
+            closed = closed | (F.col("over") < F.col("rest"))
+        begin = F.shiftleft("range", shift)
+        end = F.when(F.col("range") == (1 << STEP_BITS * step) - 1, F.lit(most)).otherwise(begin + F.lit(1 << shift))
+        # where fewer words are there than wanted, all of them are taken
+        lost = F.lit(most) if step == 1 else F.col("low")
+        moved = F.when(~F.col("open"), F.col("low")).when(~found, lost).when(closed, end).otherwise(begin)
+        lack = F.when(~F.col("open") | ~found, F.col("left")).when(closed, none).otherwise(F.col("rest"))
+        state = settled(
+            state.join(hit, "_pattern", "left").select(
+                "_pattern", "want", "above", moved.alias("low"), F.coalesce("rest", "need").alias("need"),
+                lack.alias("left"), (F.col("open") & found & ~F.coalesce(closed, F.lit(True))).alias("open"),
+            ),
+            "thresholds",
+        )
+    return state.select("_pattern", "low", "left")
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    found = rows.join(F.broadcast(plan), "_pattern")  # at most MAX_PATTERNS rows
+    found = lookup_join(rows, plan, ["_pattern"], row_key=["_draw"])
     more = (F.col("_draw") < F.col("below")) | ((F.col("_size") <= F.col("small")) & (F.col("_draw") < F.col("filled")))
     return found.withColumn("copies", F.col("full") + more.cast("int"))
 
