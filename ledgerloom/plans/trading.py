@@ -17,6 +17,7 @@ from ledgerloom.plans.generating import flow_sql
 from ledgerloom.plans.registry import SEED, Register, day
 from ledgerloom.plans.validate import DATES, KEYS, LINKS, validate, write_validated
 from ledgerloom.session import work_dir
+from ledgerloom.sources.sets import publish, read_set
 from ledgerloom.sources.tables import FORMATS, given, read_table, write
 from ledgerloom.streaming import feeds
 
@@ -509,6 +510,52 @@ def write_tables(spark: SparkSession, folder: str) -> DataFrame:
     return back
 
 
+PARTED = {"order_header": ["company_id"], "journal_line": ["line_no"], "customer": ["country", "segment"]}
+_EDITED = {
+    "order_header": "company_id <> 1 OR status = 'open'",
+    "vendor": "terms_days >= 30",
+}
+
+
+def _published_sql() -> str:
+    """Rows and a sum of row hashes of every table, as it was made and as it was edited."""
+    rows = []
+    for name, sql in _TABLE_SQL.items():
+        for version in (1, 2):
+            kept = _EDITED.get(name, "true") if version == 2 else "true"
+            rows.append(f"""
+                SELECT {version}::BIGINT AS version, '{name}' AS name, count(*) AS n,
+                       coalesce(sum(('0x' || substr(md5(concat_ws('|', *COLUMNS(*))), 1, 8))::BIGINT), 0)::BIGINT AS hashes
+                FROM ({sql}) WHERE {kept}""")
+    return " UNION ALL ".join(rows)
+
+
+@register.add("set_published", _published_sql())
+def set_published(spark: SparkSession, folder: str) -> DataFrame:
+    """All twelve tables published as one set, two of them edited, and both versions read again, every row hashed."""
+    path = work_dir(spark, "published")
+    tables = {name: _plain(df) for name, df in _tables(spark, folder).items()}
+    publish(tables, path, PARTED)
+    first = read_set(spark, path, 1)
+    publish(
+        {
+            "order_header": first["order_header"].filter("company_id = 1 AND status = 'open'"),
+            "vendor": first["vendor"].filter(_EDITED["vendor"]),
+        },
+        path,
+        PARTED,
+        edit=True,
+    )
+    found = None
+    for version in (1, 2):
+        for name, df in read_set(spark, path, version).items():
+            row = F.conv(F.substr(F.md5(F.concat_ws("|", *df.columns).cast("binary")), F.lit(1), F.lit(8)), 16, 10)
+            summed = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row.cast("bigint")), F.lit(0)).alias("hashes"))
+            summed = summed.select(F.lit(version).cast("bigint").alias("version"), F.lit(name).alias("name"), "n", "hashes")
+            found = summed if found is None else found.unionByName(summed)
+    return found
+
+
 @register.add(
     "stream_generate",
     f"""
