@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import settled, text_of, whole_row, words_of
-from ledgerloom.operators.spread import lookup_join, ordered_scan
+from ledgerloom.operators.spread import fits_broadcast, ordered_scan, salted_join
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3  # times a document may be taken at most
@@ -178,8 +178,8 @@ def _overlapping(members: DataFrame, costs: Sequence[int]) -> DataFrame:
 
 
 def plan_mix(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS,
-             costs: Sequence[int] = COSTS) -> DataFrame:
-    """One row per pattern: (_pattern, full, below, small, filled, source_size, target).
+             costs: Sequence[int] = COSTS) -> tuple[DataFrame, bool]:
+    """One row per pattern: (_pattern, full, below, small, filled, source_size, target); and whether it may be broadcast.
 
     A document of the pattern is taken ``full`` times, and once more if its draw is less than
     ``below``, or less than ``filled`` where it has ``small`` words at most. ``narrow`` has (_pattern, _size, _draw).
@@ -191,7 +191,8 @@ def plan_mix(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int
     patterns = narrow.groupBy("_pattern").agg(F.sum("_size").alias("size")).withColumn("_own", own)
     patterns = settled(patterns.withColumn("_many", F.size("_own") > 1), "patterns")
     members = patterns.select("_pattern", "size", "_many", F.explode("_own").alias("source"))
-    total, overlaps = patterns.agg(F.sum("size"), F.bool_or("_many")).head()
+    total, overlaps, count = patterns.agg(F.sum("size"), F.bool_or("_many"), F.count(F.lit(1))).head()
+    few = fits_broadcast(patterns.select("_pattern"), count)  # measured once; what is joined later has these patterns at most
     sources = settled(members.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     quotas = settled(_quotas(sources, sources.count(), total or 0, weights, epochs), "quotas")
     met = members.join(quotas.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
@@ -208,9 +209,9 @@ def plan_mix(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int
     whole = F.when(F.col("size") > 0, F.expr("_routed div size")).otherwise(F.lit(0).cast("long"))
     shares = settled(shares.withColumn("full", whole).withColumn("part", F.col("_routed") - whole * F.col("size")), "shares")
     wanted = shares.filter("part > 0").select("_pattern", F.col("part").alias("want"), F.lit(0).cast("long").alias("above"))
-    first = _thresholds(narrow, wanted, False)
+    first = _thresholds(narrow, wanted, False, few)
     gaps = first.filter("left > 0").select("_pattern", F.col("left").alias("want"), F.col("low").alias("above"))
-    again = _thresholds(narrow, gaps, True)
+    again = _thresholds(narrow, gaps, True, few)
     none = F.lit(0).cast("long")
     plan = shares.join(first.select("_pattern", F.col("low").alias("below"), "left"), "_pattern", "left").join(
         again.select("_pattern", F.col("low").alias("filled")), "_pattern", "left"
@@ -222,10 +223,10 @@ def plan_mix(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int
             F.coalesce("filled", none).alias("filled"), "source_size", "target",
         ),
         "plan",
-    )
+    ), few
 
 
-def _thresholds(narrow: DataFrame, wanted: DataFrame, fill: bool) -> DataFrame:
+def _thresholds(narrow: DataFrame, wanted: DataFrame, fill: bool, few: bool) -> DataFrame:
     """(_pattern, low, left): the draw below which a pattern's documents hold the wanted words, and the words still lacking.
 
     ``wanted`` has (_pattern, want, above). Each step counts the words of 2**STEP_BITS ranges of the draw and
@@ -243,10 +244,9 @@ def _thresholds(narrow: DataFrame, wanted: DataFrame, fill: bool) -> DataFrame:
     for step in range(1, STEPS + 1):
         shift = DRAW_BITS - STEP_BITS * step
         active = state.filter("open").select("_pattern", "want", "above", "low", "need")
-        patterns = active.count()
-        if not patterns:
+        if active.isEmpty():
             break
-        seen = lookup_join(narrow, active, ["_pattern"], row_key=["_draw"], rows=patterns).filter(
+        seen = _joined(narrow, active, few).filter(
             F.shiftright("_draw", shift + STEP_BITS) == F.shiftright("low", shift + STEP_BITS)
         )
         if fill:
@@ -280,8 +280,15 @@ def _thresholds(narrow: DataFrame, wanted: DataFrame, fill: bool) -> DataFrame:
     return state.select("_pattern", "low", "left")
 
 
-def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    found = lookup_join(rows, plan, ["_pattern"], row_key=["_draw"])
+def _joined(rows: DataFrame, found: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with what was found of their patterns, sent out if its measured size allows, else by a salted join."""
+    if few:
+        return rows.join(F.broadcast(found), "_pattern")
+    return salted_join(rows, found, ["_pattern"], row_key=["_draw"])
+
+
+def _taken(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    found = _joined(rows, plan, few)
     more = (F.col("_draw") < F.col("below")) | ((F.col("_size") <= F.col("small")) & (F.col("_draw") < F.col("filled")))
     return found.withColumn("copies", F.col("full") + more.cast("int"))
 
@@ -299,7 +306,7 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     taken or left together; other columns are ignored.
     """
     narrow = settled(df.select(df[id].alias("doc_id"), *[c.alias(n) for n, c in _measures(df, id, text, source, seed).items()]), "sizes")
-    return _taken(narrow, plan_mix(narrow, weights, epochs)).select(
+    return _taken(narrow, *plan_mix(narrow, weights, epochs)).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target",
         (F.col("_size") * F.col("copies")).alias("taken"), "copies",
     )
@@ -311,5 +318,5 @@ def mixed_rows(df: DataFrame, id: str = "doc_id", text: str = "text", source: st
     measures = _measures(df, id, text, source, seed)
     narrow = settled(df.select(*[c.alias(n) for n, c in measures.items()]), "sizes")
     rows = df.select(whole_row(df).alias("row"), *[measures[n].alias(n) for n in measures])
-    taken = _taken(rows, plan_mix(narrow, weights, epochs)).filter("copies > 0")
+    taken = _taken(rows, *plan_mix(narrow, weights, epochs)).filter("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
