@@ -27,6 +27,7 @@ class Limits:
     broadcast_bytes: int = 64 * 2**20  # the same for its text, measured where it has any
     array_rows: int = 4_096  # most history rows of one key to search as an array
     heavy_rows: int = 2_000_000  # groups up to this size go to one task
+    task_rows: int = 1_000_000  # rows of many groups dealt to one task
     heavy_share: float = 1e-4  # larger groups are heavy from this share of all rows
     max_chunks: int = 4096  # most pieces the heavy groups are cut into
     max_salts: int = 1024  # most pieces one heavy join key is cut into
@@ -172,6 +173,18 @@ def spread_small(df: DataFrame, rows: int, limits: Limits = LIMITS) -> DataFrame
     return df.repartition(cores) if rows <= limits.heavy_rows else df
 
 
+def in_tasks(df: DataFrame, keys: Sequence[str], rows: int, limits: Limits = LIMITS) -> DataFrame:
+    """Deals a counted table out by ``keys``, ``task_rows`` or less to a task on average.
+
+    Left to itself, the number of tasks follows from a setting and from compressed bytes, and
+    what a task holds grows with the table. Tables that one task holds are left as they are.
+    """
+    if rows <= limits.task_rows or not keys:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, math.ceil(rows / limits.task_rows)), *keys)
+
+
 def with_chunk(df: DataFrame, cols: Sequence[str], cuts: Sequence[Row]) -> DataFrame:
     """Adds ``_chunk``: how many cut points are at or below the row's ``cols``, read left to right."""
     # one value for the whole query: the cut points as a sorted array
@@ -232,7 +245,7 @@ def ordered_scan(
     window over the totals, and a join of the two. ``cuts`` skips the detection and cuts
     every group at the given points. ``light`` may name a cheaper frame with the same rows
     that has at least ``by``, ``order`` and what runs; counts and totals are then taken of it.
-    ``rows`` is the number of rows, where it is known.
+    ``rows`` is the number of rows, where it is known. Tasks take as many rows each, however many there are.
     """
     by, order = list(by), list(order)
     inside, combine_totals, before, together = _FOLDS[kind]
@@ -242,7 +255,7 @@ def ordered_scan(
     marks: DataFrame | None = None  # the heavy groups, if only some are
     heavy: list[Row] = []
     if cuts is None and by:
-        heavy, _ = heavy_keys(light, by, limits, rows)
+        heavy, rows = heavy_keys(light, by, limits, rows)
         if heavy:
             marks = _heavy_table(light, by, heavy, "_heavy", lambda n: 1)
             held = sum(r["_rows"] for r in heavy)
@@ -253,7 +266,7 @@ def ordered_scan(
 
     if not cuts:
         window = Window.partitionBy(*by).orderBy(*order)
-        return df.select("*", *[inside(v, window, sort_key).alias(n) for n, v in outs.items()])
+        return in_tasks(df, by, rows or 0, limits).select("*", *[inside(v, window, sort_key).alias(n) for n, v in outs.items()])
 
     def cut(frame: DataFrame, heavy_only: bool) -> DataFrame:
         if marks is None:
@@ -264,7 +277,7 @@ def ordered_scan(
         chunked = with_chunk(marked, [*by, *order], cuts)
         return chunked.withColumn("_chunk", F.when(F.col("_heavy") == 1, F.col("_chunk")).otherwise(-1)).drop("_heavy")
 
-    pieces = cut(df, heavy_only=False)
+    pieces = in_tasks(cut(df, heavy_only=False), [*by, "_chunk"], rows or 0, limits)
     totals = cut(light, heavy_only=True).groupBy(*by, "_chunk").agg(
         *[combine_totals(v, sort_key).alias(f"_t_{n}") for n, v in outs.items()]
     )
@@ -323,10 +336,13 @@ def asof(
     hist = hist.filter(F.col(valid_from).isNotNull()).select(
         *on, F.col(valid_from).cast(at_type).alias("_from"), F.struct(*values).alias("_found")
     )
-    hist = hist.groupBy(*on, "_from").agg(F.max("_found").alias("_found"))  # of equal times the greatest values
-    sizes = hist.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
-    rows, most = sizes.head()
-    if (most or 0) <= limits.array_rows and fits_broadcast(hist, rows or 0, limits):
+    rows, most = hist.count(), None
+    small = fits_broadcast(hist, rows, limits)
+    # of equal times the greatest values; a large history is dealt out first, as one small file may hold or make it
+    hist = in_tasks(hist, [*on, "_from"], rows, limits).groupBy(*on, "_from").agg(F.max("_found").alias("_found"))
+    if small:
+        most = hist.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+    if small and most <= limits.array_rows:
         parts = F.sort_array(F.collect_list(F.struct("_from", "_found"))).alias("_parts")
         # two plain arrays: a field of an array of structs would be copied out at every step
         begins, founds = F.col("_parts._from").alias("_begins"), F.col("_parts._found").alias("_founds")
@@ -337,7 +353,7 @@ def asof(
             joined = df.withColumns(
                 {"_begins": listed.select(begins).scalar(), "_founds": listed.select(founds).scalar()}
             )
-        found = F.get("_founds", last_at_most(F.col("_begins"), F.col(ts), most or 1) - F.lit(1))
+        found = F.get("_founds", last_at_most(F.col("_begins"), F.col(ts), max(most, 1)) - F.lit(1))
         return joined.withColumn("_last", found).select(*df.columns, *[F.col("_last")[v].alias(v) for v in values])
 
     keys = [f"_r{i}" for i in range(len(row_key))]

@@ -164,3 +164,23 @@ def test_estimates_are_near(spark, folder):
     for name, row in exact.items():
         assert near[name].distinct == pytest.approx(row.distinct, rel=0.15)
         assert (near[name].rows, near[name].min_num, near[name].mean) == (row.rows, row.min_num, row.mean)
+
+
+def test_large_histories_and_scans_are_dealt_out_by_their_rows(spark, capsys):
+    # one task holds and multiplies the whole history
+    history = spark.range(0, 2_000, 1, 1).select(
+        F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("since"), (F.col("id") * 3).alias("price")
+    )
+    facts = spark.range(6_000).select("id", (F.col("id") % 2_100).alias("k"), (F.col("id") % 7).cast("int").alias("d"))
+    limits = s.Limits(broadcast_rows=100, task_rows=1_000)
+    got = asof(facts, history, ["k"], "d", "since", ["price"], ["id"], limits)
+    assert got.rdd.getNumPartitions() == 26
+    text = plan(got, capsys)
+    # what few tasks make is not grouped before it is dealt out
+    dealt = text.split("REPARTITION_BY_NUM")
+    assert len(dealt) > 2 and all("HashAggregate" not in below.split("\n+- == Initial")[0] for below in dealt[-1:])
+    want = facts.selectExpr("id", "CASE WHEN k < 2000 THEN k * 3 END AS price")
+    assert rows(got.select("id", "price")) == rows(want)
+    scanned = s.ordered_scan(facts, ["k"], ["id"], {"n": F.lit(1)}, limits=limits)
+    assert scanned.rdd.getNumPartitions() == 8  # as many as there are cores, more only if rows need them
+    assert rows(scanned) == rows(s.ordered_scan(facts, ["k"], ["id"], {"n": F.lit(1)}))
