@@ -166,20 +166,39 @@ def with_totals(orders: DataFrame, spec: Spec, seed: int) -> DataFrame:
     return with_facts(lines.groupBy("order_id").agg(F.sum(amount).alias("total")), spec, seed)
 
 
-def order_header(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
+def keep_orders(spark: SparkSession, spec: Spec, seed: int, path: str) -> DataFrame:
+    """Facts and totals of all orders, made once and read from ``path``, for plans that need them many times."""
+    with_totals(order_facts(spark, spec, seed), spec, seed).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _reached(spark: SparkSession, spec: Spec, seed: int, step: str, kept: DataFrame | None) -> DataFrame:
+    """Facts of the orders that reached a step."""
+    facts = order_facts(spark, spec, seed) if kept is None else kept.drop("total")
+    return facts.filter(F.col(step).isNotNull())
+
+
+def _summed(spark: SparkSession, spec: Spec, seed: int, step: str, kept: DataFrame | None) -> DataFrame:
+    """The same with their totals."""
+    if kept is not None:
+        return kept.filter(F.col(step).isNotNull())
+    return with_totals(_reached(spark, spec, seed, step, None), spec, seed)
+
+
+def order_header(spark: SparkSession, spec: Spec, seed: int, kept: DataFrame | None = None) -> DataFrame:
     status = (
         F.when(F.col("pay_date").isNotNull(), "paid")
         .when(F.col("invoice_date").isNotNull(), "invoiced")
         .when(F.col("ship_date").isNotNull(), "shipped")
         .otherwise("open")
     )
-    return with_totals(order_facts(spark, spec, seed), spec, seed).select(
+    return _summed(spark, spec, seed, "order_id", kept).select(
         "order_id", "company_id", "customer_id", "order_date", status.alias("status"), "total"
     )
 
 
-def order_line(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
-    lines = fanout(order_facts(spark, spec, seed).select("order_id", "n_lines"), "n_lines")
+def order_line(spark: SparkSession, spec: Spec, seed: int, kept: DataFrame | None = None) -> DataFrame:
+    lines = fanout(_reached(spark, spec, seed, "order_id", kept).select("order_id", "n_lines"), "n_lines")
     return lines.select(
         "order_id",
         "line_no",
@@ -189,14 +208,16 @@ def order_line(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
     )
 
 
-def shipment(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
-    shipped = order_facts(spark, spec, seed).filter(F.col("ship_date").isNotNull())
+def shipment(spark: SparkSession, spec: Spec, seed: int, kept: DataFrame | None = None) -> DataFrame:
+    shipped = _reached(spark, spec, seed, "ship_date", kept)
     return shipped.select(F.col("order_id").alias("shipment_id"), "order_id", "ship_date")
 
 
-def invoice(spark: SparkSession, spec: Spec, seed: int, limits: Limits = LIMITS) -> DataFrame:
-    billed = order_facts(spark, spec, seed).filter(F.col("invoice_date").isNotNull())
-    rows = with_totals(billed, spec, seed).select(
+def invoice(
+    spark: SparkSession, spec: Spec, seed: int, limits: Limits = LIMITS, kept: DataFrame | None = None
+) -> DataFrame:
+    billed = _reached(spark, spec, seed, "invoice_date", kept)
+    rows = _summed(spark, spec, seed, "invoice_date", kept).select(
         F.col("order_id").alias("invoice_id"),
         "order_id",
         "company_id",
@@ -218,9 +239,8 @@ def paid_amount(seed: int, order: ColumnLike, total: Column) -> Column:
     return F.when(full, total).otherwise(F.floor(total / F.lit(2)))
 
 
-def payment(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
-    paid = order_facts(spark, spec, seed).filter(F.col("pay_date").isNotNull())
-    return with_totals(paid, spec, seed).select(
+def payment(spark: SparkSession, spec: Spec, seed: int, kept: DataFrame | None = None) -> DataFrame:
+    return _summed(spark, spec, seed, "pay_date", kept).select(
         F.col("order_id").alias("payment_id"),
         F.col("order_id").alias("invoice_id"),
         "pay_date",
@@ -228,14 +248,13 @@ def payment(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
     )
 
 
-def journal_line(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
+def journal_line(spark: SparkSession, spec: Spec, seed: int, kept: DataFrame | None = None) -> DataFrame:
     """Two lines per invoice (receivable, revenue) and two per payment (cash, receivable).
 
     Document numbers are twice the order's key, plus one for its payment. Debits are
     positive and every document's lines add up to zero.
     """
-    billed_orders = order_facts(spark, spec, seed).filter(F.col("invoice_date").isNotNull())
-    facts = with_totals(billed_orders, spec, seed)
+    facts = _summed(spark, spec, seed, "invoice_date", kept)
     facts = facts.withColumn("paid", paid_amount(seed, "order_id", F.col("total")))
 
     def entry(odd: int, line: int, account: int, posted: str, amount: Column) -> Column:
@@ -259,7 +278,7 @@ def journal_line(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
     return facts.select(F.inline(entries))
 
 
-def stock_move(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
+def stock_move(spark: SparkSession, spec: Spec, seed: int, kept: DataFrame | None = None) -> DataFrame:
     """An opening receipt per item and an issue per shipped line; issues are negative.
 
     Receipts have even move numbers and issues odd ones.
@@ -270,7 +289,7 @@ def stock_move(spark: SparkSession, spec: Spec, seed: int) -> DataFrame:
         F.lit(spec.start).alias("move_date"),
         whole(draw(seed, "stock", "opening", "item_id"), 100, 1000).cast("int").alias("qty"),
     )
-    shipped = order_facts(spark, spec, seed).filter(F.col("ship_date").isNotNull())
+    shipped = _reached(spark, spec, seed, "ship_date", kept)
     lines = fanout(shipped.select("order_id", "ship_date", "n_lines"), "n_lines")
     number = F.col("order_id") * F.lit(spec.max_lines) + F.col("line_no")
     issues = lines.select(
@@ -297,6 +316,8 @@ TABLES = {
     "stock_move": stock_move,
 }
 
+OF_ORDERS = ("order_header", "order_line", "shipment", "invoice", "payment", "journal_line", "stock_move")
+
 MONEY = {
     "customer": ("credit_limit",),
     "item": ("unit_cost",),
@@ -308,9 +329,13 @@ MONEY = {
 }
 
 
-def build(spark: SparkSession, spec: Spec, seed: int) -> dict[str, DataFrame]:
-    """All tables, lazily: nothing but the invoice numbering looks at data before an action."""
-    return {name: make(spark, spec, seed) for name, make in TABLES.items()}
+def build(spark: SparkSession, spec: Spec, seed: int, kept: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables, lazily: nothing but the invoice numbering looks at data before an action.
+
+    ``kept`` are the orders of ``keep_orders``; without them each table makes its own again.
+    """
+    known = {name: {"kept": kept} for name in OF_ORDERS if kept is not None}
+    return {name: make(spark, spec, seed, **known.get(name, {})) for name, make in TABLES.items()}
 
 
 def published(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

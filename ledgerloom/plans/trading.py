@@ -445,7 +445,9 @@ _SETTLED_SQL = f"""
 def _accounts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Invoices and payments up to AS_OF, each with its customer, which follows from the order's key."""
     spec = co.sized_like(spark, folder)
-    billed = co.with_totals(co.order_facts(spark, spec, SEED).filter(F.col("invoice_date") <= AS_OF), spec, SEED)
+    # read some eighteen times by a scan in pieces, so made once
+    orders = co.keep_orders(spark, spec, SEED, work_dir(spark, "orders"))
+    billed = orders.filter(F.col("invoice_date") <= AS_OF)
     due = F.date_add("invoice_date", co.DUE_DAYS).alias("due_date")
     invoices = billed.select("customer_id", F.col("order_id").alias("invoice_id"), due, F.col("total").alias("amount"))
     paid = billed.filter(F.col("pay_date") <= AS_OF).select(

@@ -8,6 +8,10 @@ import pytest
 
 from ledgerloom.operators.settle import reordered, settle
 from ledgerloom.operators.spread import Limits
+from ledgerloom.plans import company as co
+from ledgerloom.plans import trading
+from ledgerloom.plans.registry import SEED
+from tests.conftest import plan, rows
 
 DAY = dt.date(2024, 1, 1)
 BOTH = [Limits(), Limits(heavy_rows=9, broadcast_rows=3)]
@@ -98,3 +102,14 @@ def test_reordered_step_by_step(spark, limits, floor, lot):
 def test_lot_of_nothing(spark):
     with pytest.raises(ValueError, match="lot"):
         reordered(spark.range(1), [], ["id"], "id", lot=0)
+
+
+def test_settlement_reads_orders_that_were_made_once(spark, folder, tmp_path, capsys):
+    spec = co.sized_like(spark, folder)
+    kept = co.keep_orders(spark, spec, SEED, f"{tmp_path}/orders")
+    made, again = co.build(spark, spec, SEED, kept), co.build(spark, spec, SEED)
+    for name in co.OF_ORDERS:
+        assert made[name].dtypes == again[name].dtypes and rows(made[name]) == rows(again[name]), name
+    for side in trading._accounts(spark, folder):
+        text = plan(side, capsys)
+        assert "FileScan" in text and "Range (" not in text
