@@ -52,6 +52,14 @@ def _schema(entry: Row) -> T.StructType:
     return T.StructType.fromJson(json.loads(entry["schema"]))
 
 
+def _folder(spark: SparkSession, path: str, schema: T.StructType, known: dict[str, DataFrame] | None) -> DataFrame:
+    """The rows of a folder, which never changes once written, so ``known`` ones are not listed again."""
+    known = {} if known is None else known
+    if path not in known:
+        known[path] = spark.read.schema(schema).parquet(path).select(*schema.names)
+    return known[path]
+
+
 def _part(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*columns)) if columns else F.lit("{}")
 
@@ -62,6 +70,7 @@ def publish(
     by: Mapping[str, Sequence[str]] | None = None,
     edit: bool = False,
     rows_per_file: int = 2_000_000,
+    known: dict[str, DataFrame] | None = None,
 ) -> int:
     """Writes ``tables`` as the next version of the set at ``path`` and returns its number.
 
@@ -70,7 +79,7 @@ def publish(
     reads. With ``edit`` the tables that are not named stay, and of a partitioned table the partitions
     without new rows stay; without it the set consists of ``tables`` alone. A table keeps its columns and
     partition columns as long as parts of it stay. Two writers of one version are found when it is read. An
-    empty text in a partition column is read as null, as always in Spark.
+    empty text in a partition column is read as null, as always in Spark. ``known`` is filled for ``read_set``.
     """
     if not tables:
         raise ValueError("a set holds one table at least")
@@ -87,7 +96,7 @@ def publish(
     rows = []
     for name, folder in folders.items():
         columns, schema = by[name], tables[name].schema
-        written = spark.read.schema(schema).parquet(folder)
+        written = _folder(spark, folder, schema, known)
         counted = written.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).select(_part(columns).alias("part"), "n")
         parts = [tuple(r) for r in counted.collect()] or [(None, 0)]
         place = folder[len(root) + 1 :]
@@ -102,11 +111,14 @@ def publish(
     return last + 1
 
 
-def read_set(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+def read_set(
+    spark: SparkSession, path: str, version: int | None = None, known: dict[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
     """The tables of a version, or of the last one, by name.
 
     Each folder is scanned as a partitioned table, so filters and joins on partition columns prune it; partitions
-    that a later version has replaced are left out by a filter on partition columns alone.
+    that a later version has replaced are left out by a filter on partition columns alone. Folders are listed once for
+    all calls that share the dict ``known``, whatever the number of versions that name them.
     """
     wanted = last_version(spark, path) if version is None else version
     live: dict[str, dict[str, list[Row]]] = defaultdict(lambda: defaultdict(list))
@@ -119,7 +131,7 @@ def read_set(spark: SparkSession, path: str, version: int | None = None) -> dict
         whole = None
         for folder, own in sorted(folders.items()):
             schema = _schema(own[0])
-            df = spark.read.schema(schema).parquet(f"{_root(path)}/{folder}").select(*schema.names)
+            df = _folder(spark, f"{_root(path)}/{folder}", schema, known)
             if len(own) < own[0]["parts"]:
                 df = df.filter(_part(own[0]["columns"]).isin([r["part"] for r in own]))
             whole = df if whole is None else whole.unionByName(df)

@@ -91,3 +91,18 @@ def test_empty_tables_and_wrong_edits(spark, tmp_path, facts, names):
     assert {n: t.count() for n, t in read_set(spark, path).items()} == {"facts": 60, "names": 0}
     with pytest.raises(ValueError, match="other columns"):
         publish({"facts": facts.drop("kind")}, path, {"facts": ["year"]}, edit=True)
+
+
+def test_folders_are_listed_once_for_all_versions(spark, tmp_path, facts, names, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    path, by, known, listed = f"{tmp_path}/set", {"facts": ["year", "kind"]}, {}, []
+    read = DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, p, **o: (listed.append(p), read(self, p, **o))[1])
+    publish({"facts": facts, "names": names}, path, by, known=known)
+    publish({"facts": facts.filter("year = 2").limit(1)}, path, by, edit=True, known=known)
+    sets_read = [read_set(spark, path, v, known) for v in (1, 2, 1, None)]
+    data = [p for p in listed if "/data/" in p]
+    assert len(data) == len(set(data)) == 3
+    for v, tables in zip((1, 2, 1, None), sets_read):
+        assert {n: rows(t) for n, t in tables.items()} == {n: rows(t) for n, t in read_set(spark, path, v).items()}
