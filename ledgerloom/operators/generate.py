@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.draws import ColumnLike, as_col, draw
 from ledgerloom.functions.values import fk
-from ledgerloom.operators.spread import LIMITS, Limits, asof, dense_number, lookup_join, ordered_scan
+from ledgerloom.operators.spread import LIMITS, Limits, asof, dense_number, in_tasks, lookup_join, ordered_scan
 
 __all__ = [
     "Defects", "Step", "asof", "balance", "defects", "document_flow", "fanout", "fk_sparse", "follow",
@@ -148,12 +148,21 @@ def running(
 
 
 def price_history(
-    items: DataFrame, key: str, seed: int, base: ColumnLike, start: ColumnLike, versions: int, days: int
+    items: DataFrame,
+    key: str,
+    seed: int,
+    base: ColumnLike,
+    start: ColumnLike,
+    versions: int,
+    days: int,
+    limits: Limits = LIMITS,
 ) -> DataFrame:
     """Dated prices in cents: ``versions`` per item, one every ``days`` days, valid_to exclusive.
 
-    The last version stays open (valid_to null). Prices move within 20 % of ``base``.
+    The last version stays open (valid_to null). Prices move within 20 % of ``base``. Items are counted
+    and, if their versions are too many for one task, dealt out before they are multiplied.
     """
+    items = in_tasks(items, items.columns, items.count() * versions, limits)
     number = F.col("version")
     factor = F.lit(0.8) + F.lit(0.4) * draw(seed, "price", "factor", key, number)
     opened = F.date_add(as_col(start), (number - F.lit(1)) * F.lit(days))

@@ -245,7 +245,7 @@ def ordered_scan(
     window over the totals, and a join of the two. ``cuts`` skips the detection and cuts
     every group at the given points. ``light`` may name a cheaper frame with the same rows
     that has at least ``by``, ``order`` and what runs; counts and totals are then taken of it.
-    ``rows`` is the number of rows, where it is known. Tasks take as many rows each, however many there are.
+    ``rows`` is the number of rows or more, where it is known. Tasks take as many rows each, however many there are.
     """
     by, order = list(by), list(order)
     inside, combine_totals, before, together = _FOLDS[kind]
@@ -367,7 +367,10 @@ def asof(
     )
     dated = hist.withColumn("_side", F.lit(0)).withColumnRenamed("_from", "_at")
     line = facts.unionByName(dated, allowMissingColumns=True)
-    seen = ordered_scan(line, on, ["_at", "_side", *keys], {"_last": "_found"}, "last", limits)
+    # history rows of one time are counted apart, so that the history is not made and grouped again for a number
+    seen = ordered_scan(
+        line, on, ["_at", "_side", *keys], {"_last": "_found"}, "last", limits, rows=df.count() + rows
+    )
     known = F.lit(True)
     for k in [*on, "_at"]:
         known = known & F.col(k).isNotNull()

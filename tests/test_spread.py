@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.draws import draw
 from ledgerloom.operators import spread as s
-from ledgerloom.operators.generate import asof, spine, valid_to
+from ledgerloom.operators.generate import asof, price_history, spine, valid_to
 from ledgerloom.operators.imitate import choice_from, profile, quantiles, resample
 from tests.conftest import plan, rows
 
@@ -184,3 +184,22 @@ def test_large_histories_and_scans_are_dealt_out_by_their_rows(spark, capsys):
     scanned = s.ordered_scan(facts, ["k"], ["id"], {"n": F.lit(1)}, limits=limits)
     assert scanned.rdd.getNumPartitions() == 8  # as many as there are cores, more only if rows need them
     assert rows(scanned) == rows(s.ordered_scan(facts, ["k"], ["id"], {"n": F.lit(1)}))
+
+
+def test_a_history_is_dealt_out_before_it_is_multiplied_and_not_made_again_to_be_counted(spark, capsys, monkeypatch):
+    # one task reads all items
+    items = spark.range(0, 500, 1, 1).select(F.col("id").alias("k"), (F.col("id") * 100).alias("cost"))
+    start, limits = F.lit(dt.date(2020, 1, 1)), s.Limits(broadcast_rows=100, heavy_rows=3_000, task_rows=700)
+    prices = price_history(items, "k", 1, "cost", start, 14, 30, limits)
+    made = prices.groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) == 10 and max(r["count"] for r in made) < 1_400
+    assert rows(prices) == rows(price_history(items, "k", 1, "cost", start, 14, 30))
+    assert "REPARTITION" not in plan(price_history(items, "k", 1, "cost", start, 14, 30), capsys)
+
+    told, scan = [], s.ordered_scan
+    monkeypatch.setattr(s, "ordered_scan", lambda *args, **named: told.append(named["rows"]) or scan(*args, **named))
+    twice = prices.unionByName(prices)  # more history rows than times
+    facts = spark.range(3_000).select("id", (F.col("id") % 600).alias("k"), F.expr("date '2020-01-15' + cast(id % 500 as int)").alias("d"))
+    got = asof(facts, twice, ["k"], "d", "valid_from", ["price"], ["id"], limits)
+    assert told == [3_000 + 14_000]
+    assert rows(got) == rows(asof(facts, prices, ["k"], "d", "valid_from", ["price"], ["id"]))
